@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import topn
+from quern.llm import leakage, spans, topn
 from quern.plans.registry import Registry, table
 
 registry = Registry()
@@ -24,3 +24,25 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return staff.select(F.lit("employees").alias("table_name"), "row_id").unionByName(
         places.select(F.lit("continents_countries_temp").alias("table_name"), "row_id")
     )
+
+
+@registry.query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), cosine=None)
+    return found.where("verbatim").select("doc_id", "item_id")
+
+
+@registry.query("p8_leaks")
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@registry.query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+@registry.query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return spans.shared_amounts(docs, spans.shared_spans(docs))
