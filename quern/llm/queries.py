@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import leakage, spans, topn
+from quern.llm import leakage, packing, quantiles, spans, topn
 from quern.plans.registry import Registry, table
 
 registry = Registry()
 
 
+_P2_TABLES = (("employees", "department_id", "salary"), ("continents_countries_temp", "country", "temperature"), ("scu_continents_1", "country", "ndata"))
+PER_MILLE = (500, 900, 950, 990)
+
+
+def _percentiles(spark: SparkSession, d: str, monthly: bool) -> DataFrame:
+    """Whole numbers and fractions are bisected apart, each in its own type."""
+    whole, frac = [], []
+    for name, group, value in _P2_TABLES:
+        df = table(spark, d, name).withColumn("table_name", F.lit(name)).withColumn("grp", F.col(group).cast("string")).withColumn("month", F.date_format("recorded_at", "yyyy-MM"))
+        summary = quantiles.summarize(df, ["table_name", "grp", "month"], value)
+        (frac if value == "temperature" else whole).append(summary)
+    groups = ["table_name", "grp", *["month"] * monthly]
+    parts = []
+    for summaries in (whole, frac):
+        found = quantiles.percentiles(quantiles.combine(*summaries), groups, PER_MILLE)
+        parts.append(found.withColumns({c: F.col(c).cast("double") for c in ("lower", "upper")}))
+    return parts[0].unionByName(parts[1])
+
+
+def _percentile_sql(month: str) -> str:
+    more, by = (f"strftime(recorded_at, '%Y-%m') AS month, ", "table_name, grp, month") if month else ("", "table_name, grp")
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST({g} AS VARCHAR) AS grp, {more}CAST({v} AS DOUBLE) AS v FROM {t} WHERE {v} IS NOT NULL" for t, g, v in _P2_TABLES)
+    return f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY v) AS k, count(*) OVER (PARTITION BY {by}) AS n FROM ({rows}))
+    SELECT {by}, CAST(p AS INTEGER) AS per_mille, n AS n_rows, v AS lower, v AS upper FROM r, (VALUES (500), (900), (950), (990)) AS t(p) WHERE k = greatest(1, (n * p + 999) // 1000)"""
+
+
+@registry.query("p2_percentiles", _percentile_sql(""))
+def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return _percentiles(spark, d, monthly=False)
+
+
+@registry.query("p2_months", _percentile_sql("month"))
+def p2_months(spark: SparkSession, d: str) -> DataFrame:
+    return _percentiles(spark, d, monthly=True)
+
+
 @registry.query(
     "p6_found",
     """SELECT 'employees' AS table_name, row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY department_id ORDER BY salary DESC, row_id) AS r
@@ -26,6 +64,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_TOKEN_RE2 = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@registry.query("p7_found", f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_TOKEN_RE2}')) > 1024")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents")).where("n_pieces > 1 AND piece = 0").select("doc_id")
+
+
+@registry.query("p7_containers")
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+@registry.query("p7_fill")
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.pack(table(spark, d, "documents")))
+
+
+#: where the public tokenizers' files lie
+TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
+
+
+@registry.query("p7_public_tokens")
+def p7_public_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), size=packing.count_pieces(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")(F.col("text")))
+
+
 @registry.query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), cosine=None)
