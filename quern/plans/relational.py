@@ -169,24 +169,35 @@ on("continents_countries_temp", "A41_avg_temperature", "SELECT continent, countr
 on("events", "A43_conditional_avg", "SELECT user_id, round(avg(value), 6) AS a FROM events WHERE event_type = 'purchase' GROUP BY 1", lambda t: t.where("event_type = 'purchase'").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("a")))
 
 # ---- windows ----------------------------------------------------------------------------------------------
-_w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+def _w():
+    return Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+
+
+
 _W = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)"
-on("orders", "W02_row_number", f"SELECT o_orderkey, row_number() {_W} AS rn FROM orders", lambda t: t.select("o_orderkey", F.row_number().over(_w).cast("bigint").alias("rn")))
-_p = Window.partitionBy("p_brand").orderBy(F.desc("p_size"))
+on("orders", "W02_row_number", f"SELECT o_orderkey, row_number() {_W} AS rn FROM orders", lambda t: t.select("o_orderkey", F.row_number().over(_w()).cast("bigint").alias("rn")))
+def _p():
+    return Window.partitionBy("p_brand").orderBy(F.desc("p_size"))
+
+
+
 _P = "OVER (PARTITION BY p_brand ORDER BY p_size DESC)"
-on("part", "W03_rank", f"SELECT p_partkey, rank() {_P} AS r FROM part", lambda t: t.select("p_partkey", F.rank().over(_p).cast("bigint").alias("r")))
-on("part", "W04_dense_rank", f"SELECT p_partkey, dense_rank() {_P} AS r FROM part", lambda t: t.select("p_partkey", F.dense_rank().over(_p).cast("bigint").alias("r")))
-on("orders", "W05_top_n", f"SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() {_W} <= 2", lambda t: t.withColumn("rn", F.row_number().over(_w)).where("rn <= 2").select("o_custkey", "o_orderkey"))
-on("part", "W06_running", f"SELECT p_partkey, CAST(sum(p_size) {_P} AS BIGINT) AS s FROM part", lambda t: t.select("p_partkey", F.sum("p_size").over(_p).alias("s")))
-on("orders", "W07_lag_lead", f"SELECT o_orderkey, lag(o_totalprice) {_W} AS before, lead(o_totalprice) {_W} AS after FROM orders", lambda t: t.select("o_orderkey", F.lag("o_totalprice").over(_w).alias("before"), F.lead("o_totalprice").over(_w).alias("after")))
-on("part", "W09_percent_rank", f"SELECT p_partkey, round(percent_rank() {_P}, 6) AS r FROM part", lambda t: t.select("p_partkey", F.round(F.percent_rank().over(_p), 6).alias("r")))
-on("orders", "W10_ntile", f"SELECT o_orderkey, ntile(3) {_W} AS part FROM orders", lambda t: t.select("o_orderkey", F.ntile(3).over(_w).cast("bigint").alias("part")))
-_by = Window.partitionBy("o_custkey")
+on("part", "W03_rank", f"SELECT p_partkey, rank() {_P} AS r FROM part", lambda t: t.select("p_partkey", F.rank().over(_p()).cast("bigint").alias("r")))
+on("part", "W04_dense_rank", f"SELECT p_partkey, dense_rank() {_P} AS r FROM part", lambda t: t.select("p_partkey", F.dense_rank().over(_p()).cast("bigint").alias("r")))
+on("orders", "W05_top_n", f"SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() {_W} <= 2", lambda t: t.withColumn("rn", F.row_number().over(_w())).where("rn <= 2").select("o_custkey", "o_orderkey"))
+on("part", "W06_running", f"SELECT p_partkey, CAST(sum(p_size) {_P} AS BIGINT) AS s FROM part", lambda t: t.select("p_partkey", F.sum("p_size").over(_p()).alias("s")))
+on("orders", "W07_lag_lead", f"SELECT o_orderkey, lag(o_totalprice) {_W} AS before, lead(o_totalprice) {_W} AS after FROM orders", lambda t: t.select("o_orderkey", F.lag("o_totalprice").over(_w()).alias("before"), F.lead("o_totalprice").over(_w()).alias("after")))
+on("part", "W09_percent_rank", f"SELECT p_partkey, round(percent_rank() {_P}, 6) AS r FROM part", lambda t: t.select("p_partkey", F.round(F.percent_rank().over(_p()), 6).alias("r")))
+on("orders", "W10_ntile", f"SELECT o_orderkey, ntile(3) {_W} AS part FROM orders", lambda t: t.select("o_orderkey", F.ntile(3).over(_w()).cast("bigint").alias("part")))
+def _by():
+    return Window.partitionBy("o_custkey")
+
+
 on(
     "orders", "W11_from_mean", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * count(*) OVER w - sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DOUBLE) / count(*) OVER w AS off FROM orders WINDOW w AS (PARTITION BY o_custkey)",
-    lambda t: t.select("o_orderkey", ((F.col("o_totalprice").cast("decimal(18,2)") * F.count("*").over(_by) - F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(_by)).cast("double") / F.count("*").over(_by)).alias("off")),
+    lambda t: t.select("o_orderkey", ((F.col("o_totalprice").cast("decimal(18,2)") * F.count("*").over(_by()) - F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(_by())).cast("double") / F.count("*").over(_by())).alias("off")),
 )
-on("orders", "W12_rows_between", f"SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS a FROM orders", lambda t: t.select("o_orderkey", F.round(F.avg("o_totalprice").over(_w.rowsBetween(-1, 1)), 4).alias("a")))
+on("orders", "W12_rows_between", f"SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS a FROM orders", lambda t: t.select("o_orderkey", F.round(F.avg("o_totalprice").over(_w().rowsBetween(-1, 1)), 4).alias("a")))
 
 # ---- sort, limit, sample ----------------------------------------------------------------------------------
 on("customer", "T01_order_by", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey", lambda t: t.orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey").select("c_custkey", "c_acctbal"))
