@@ -73,3 +73,11 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BR
     """``df`` with a broadcast hint when ``rows * row_bytes`` is within ``limit``; else unchanged, so that
     the join shuffles and adaptive execution splits skewed partitions."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, removed when the JVM ends."""
+    path = f"{shared_folder(spark)}/quern-{label}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
