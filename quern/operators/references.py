@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.columns import col, unused
 from quern.staging import BROADCAST_BYTES, stage
 
 BLOCK_WORDS = 512  # of 64 bits: 4 KiB a block
@@ -31,7 +32,7 @@ def bloom_blocks(keys: DataFrame, key: str, max_bytes: int = BROADCAST_BYTES) ->
     At most ``max_bytes`` large however many keys there are: beyond that the false-positive rate rises,
     and with it only the number of keys that the exact join has to verify.
     """
-    distinct = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k")).distinct()
+    distinct = keys.where(col(key).isNotNull()).select(col(key).cast("long").alias("k")).distinct()
     held = distinct.count()
     size = BLOCK_WORDS * 64
     blocks = max(1, min(-(-held * BITS_PER_KEY // size), max_bytes // (BLOCK_WORDS * 8)))
@@ -55,8 +56,7 @@ def might_exist(key: Column, words: Column) -> Column:
 
 def _lifetimes(parents: DataFrame, key: str, since: str, until: str) -> DataFrame:
     """The different lifetimes of each non-null key."""
-    rows = parents.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("__parent"), F.col(since).alias("__since"), F.col(until).alias("__until"))
-    return rows.distinct()
+    return parents.where(col(key).isNotNull()).select(col(key).cast("long"), col(since), col(until)).distinct()
 
 
 def orphans(
@@ -74,36 +74,38 @@ def orphans(
 
     Alive: ``since <= at`` and (``until`` null or ``at < until``). Reasons: ``missing`` (no row has the id),
     ``not_yet`` (its first lifetime begins later), ``deleted`` (else; also where ``at`` is null).
-    Rows with a null key refer to nothing and are left out; repeated rows and extra columns are kept; no
+    Rows with a null key refer to nothing and are left out; repeated rows and extra columns are kept (a column that
+    is already named ``reason`` makes the new one ``reason_``); no
     parents makes every reference an orphan; no children gives no rows.
 
     The parents' lifetimes are broadcast only if their counted size is within ``max_broadcast``; beyond it
     both sides shuffle on (key, salt), so that a parent with a third of all children spreads over ``salts`` tasks.
     """
-    names = children.columns
+    names = [col(c) for c in children.columns]
+    n_block, n_words, n_maybe, n_salt = (unused(children, x) for x in ("__block", "__words", "__maybe", "__salt"))
+    n_parent, n_since, n_until, n_id, n_first, n_each = (unused(children, x) for x in ("__parent", "__since", "__until", "__id", "__first", "__each"))
+    told = unused(children, "reason")
     blocks, n = bloom_blocks(parents, parent_key, max_broadcast)
-    own = F.col(f"`{key}`").cast("long")
-    probed = children.where(own.isNotNull()).join(F.broadcast(blocks.withColumnRenamed("block", "__block").withColumnRenamed("words", "__words")), _block(own, n) == F.col("__block"), "left")
-    probed = probed.withColumn("__maybe", might_exist(own, F.col("__words"))).drop("__block", "__words")
-
-    lives = stage(_lifetimes(parents, parent_key, since, until), "lifetimes")
-    rows = lives.count()
-    # definite orphans join nothing: their probe key is null, so neither side of a shuffle gets hot by them
-    maybe, sure = probed.where("__maybe"), probed.where("NOT __maybe")
-    when = F.col(f"`{at}`")
-    alive = (own == F.col("__parent")) & (F.col("__since") <= when) & (F.col("__until").isNull() | (when < F.col("__until")))
-    first = lives.frame.groupBy(F.col("__parent").alias("__id")).agg(F.min("__since").alias("__first"))
-    if rows * 32 <= max_broadcast:
+    own, when = col(key).cast("long"), col(at)
+    filter_ = F.broadcast(blocks.select(F.col("block").alias(n_block), F.col("words").alias(n_words)))
+    probed = children.where(own.isNotNull()).join(filter_, _block(own, n) == F.col(n_block), "left")
+    probed = probed.withColumn(n_maybe, might_exist(own, F.col(n_words))).drop(n_block, n_words)
+    # definite orphans join nothing: neither side of a shuffle gets hot by them
+    maybe, sure = probed.where(F.col(n_maybe)), probed.where(~F.col(n_maybe))
+
+    lives = stage(_lifetimes(parents, parent_key, since, until).toDF(n_parent, n_since, n_until), "lifetimes")
+    alive = (own == F.col(n_parent)) & (F.col(n_since) <= when) & (F.col(n_until).isNull() | (when < F.col(n_until)))
+    first = lives.frame.groupBy(F.col(n_parent).alias(n_id)).agg(F.min(n_since).alias(n_first))
+    if lives.count() * 32 <= max_broadcast:
         lost = maybe.join(F.broadcast(lives.frame), alive, "left_anti")
-        lost = lost.join(F.broadcast(first), own == F.col("__id"), "left")
+        lost = lost.join(F.broadcast(first), own == F.col(n_id), "left")
     else:
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(salts)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        lost = maybe.withColumn("__s", salt).join(lives.frame.withColumn("__salt", every), alive & (F.col("__s") == F.col("__salt")), "left_anti")
-        lost = lost.join(first.withColumn("__salt", every), (own == F.col("__id")) & (F.col("__s") == F.col("__salt")), "left")
-    reason = F.when(F.col("__id").isNull(), "missing").when(when < F.col("__first"), "not_yet").otherwise("deleted")
-    kept = [F.col(f"`{c}`") for c in names]
-    return sure.select(*kept, F.lit("missing").alias("reason")).unionByName(lost.select(*kept, reason.alias("reason")))
+        lost = maybe.withColumn(n_salt, F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
+        lost = lost.join(lives.frame.withColumn(n_each, every), alive & (F.col(n_salt) == F.col(n_each)), "left_anti")
+        lost = lost.join(first.withColumn(n_each, every), (own == F.col(n_id)) & (F.col(n_salt) == F.col(n_each)), "left")
+    reason = F.when(F.col(n_id).isNull(), "missing").when(when < F.col(n_first), "not_yet").otherwise("deleted")
+    return sure.select(*names, F.lit("missing").alias(told)).unionByName(lost.select(*names, reason.alias(told)))
 
 
 def orphan_report(found: DataFrame, table: str, column: str, at: str) -> DataFrame:

@@ -11,24 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.columns import col, unused
 from quern.staging import broadcast_if_small, stage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's number in its low 33 bits
 _HALF = (1 << 32) - 1
 
 
-def _unused(df: DataFrame, base: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    name = base
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def _plain_keys(df: DataFrame, keys: Sequence[str]) -> list[str]:
     missing = [k for k in keys if k not in df.columns]
     if missing or not keys:
@@ -40,45 +33,40 @@ def number_rows(df: DataFrame, keys: Sequence[str], position: str = "position",
     """Add ``position``: 0, 1, 2 ... within each key, without moving rows between partitions.
 
     Null is a key value like any other; repeated rows get positions of their own; an empty table stays
-    empty; all other columns pass through. Which row of a key gets which position follows the input's
-    partitions. ``pin`` writes the partition-sorted rows to the shared folder first, so that counting and
-    numbering see the same partitions even if a scan were split anew after an executor's loss; without it
-    positions are exact as long as both scans are split alike.
+    empty; all other columns pass through, and a column that is already named ``position`` makes the new one
+    ``position_``. Which row of a key gets which position follows the input's partitions. ``pin`` writes the
+    partition-sorted rows to the shared folder first, so that counting and numbering see the same partitions
+    even if a scan were split anew after an executor's loss; without it positions are exact as long as both
+    scans are split alike.
     """
     keys = _plain_keys(df, keys)
-    mid = _unused(df, "__mid")
-    rows = df.sortWithinPartitions(*keys).withColumn(mid, F.monotonically_increasing_id())
+    mid, p, n = unused(df, "__mid"), unused(df, "__pid"), unused(df, "__n")
+    offset, start = unused(df, "__offset"), unused(df, "__start")
+    ks = [unused(df, f"__k{i}") for i in range(len(keys))]
+    named = [col(k).alias(a) for k, a in zip(keys, ks)]
+    rows = df.sortWithinPartitions(*[col(k) for k in keys]).withColumn(mid, F.monotonically_increasing_id())
     if pin:
         rows = stage(rows, "numbered").frame
-        counted = rows.select(F.shiftright(mid, _ROW_BITS).alias("__pid"), *_as_keys(keys))
+        counted = rows.select(F.shiftright(mid, _ROW_BITS).alias(p), *named)
     else:
-        counted = df.select(F.spark_partition_id().cast("long").alias("__pid"), *_as_keys(keys))
-    ks = [f"__k{i}" for i in range(len(keys))]
-    counts = stage(counted.groupBy("__pid", *ks).agg(F.count(F.lit(1)).alias("__n")), "offsets")
+        counted = df.select(F.spark_partition_id().cast("long").alias(p), *named)
+    counts = stage(counted.groupBy(p, *ks).agg(F.count(F.lit(1)).alias(n)), "offsets")
     before = (Window.unboundedPreceding, -1)
     offsets = counts.frame.select(
-        "__pid",
+        p,
         *ks,
-        F.coalesce(F.sum("__n").over(Window.partitionBy(*ks).orderBy("__pid").rowsBetween(*before)), F.lit(0)).alias("__offset"),
-        F.coalesce(F.sum("__n").over(Window.partitionBy("__pid").orderBy(*ks).rowsBetween(*before)), F.lit(0)).alias("__start"),
+        F.coalesce(F.sum(n).over(Window.partitionBy(*ks).orderBy(p).rowsBetween(*before)), F.lit(0)).alias(offset),
+        F.coalesce(F.sum(n).over(Window.partitionBy(p).orderBy(*ks).rowsBetween(*before)), F.lit(0)).alias(start),
     )
     # one row per (input partition, key): broadcast behind a check of its size; beyond it the join shuffles
     # on (partition, key), of which no group is larger than one input partition
     offsets = broadcast_if_small(offsets, counts.count(), 40 + 40 * len(keys))
     pid, index = F.shiftright(F.col(mid), _ROW_BITS), F.col(mid).bitwiseAND((1 << _ROW_BITS) - 1)
-    on = pid == F.col("__pid")
+    on = pid == F.col(p)
     for key, k in zip(keys, ks):
-        on = on & df_col(key).eqNullSafe(F.col(k))
-    at = index - F.coalesce("__start", F.lit(0)) + F.coalesce("__offset", F.lit(0))
-    return rows.join(offsets, on, "left").select(*[df_col(c) for c in df.columns], at.alias(position))
-
-
-def df_col(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
-def _as_keys(keys: Sequence[str]) -> list[Column]:
-    return [df_col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+        on = on & col(key).eqNullSafe(F.col(k))
+    at = index - F.coalesce(start, F.lit(0)) + F.coalesce(offset, F.lit(0))
+    return rows.join(offsets, on, "left").select(*[col(c) for c in df.columns], at.alias(unused(df, position)))
 
 
 def chunked_stats(df: DataFrame, keys: Sequence[str], value: str, distinct: str, chunk_rows: int = 100_000) -> DataFrame:
@@ -94,7 +82,7 @@ def chunked_stats(df: DataFrame, keys: Sequence[str], value: str, distinct: str,
     """
     keys = _plain_keys(df, keys)
     k = [f"k{i}" for i in range(len(keys))]
-    slim = df.select(*[df_col(c).alias(n) for c, n in zip(keys, k)], df_col(value).cast("long").alias("v"), df_col(distinct).alias("d"))
+    slim = df.select(*[col(c).alias(n) for c, n in zip(keys, k)], col(value).cast("long").alias("v"), col(distinct).alias("d"))
     placed = number_rows(slim, k, "at", pin=False).withColumn("chunk", F.floor(F.col("at") / chunk_rows))
     pieces = placed.groupBy(*k, "chunk", "d").agg(
         F.count(F.lit(1)).alias("n"),
@@ -148,5 +136,5 @@ def heavy_keys(stats: DataFrame, keys: Sequence[str], share: float) -> DataFrame
     total = stats.agg(F.sum("n_rows").alias("__all"))  # one row: its broadcast is bounded
     sound = F.lit(True)
     for key in keys:
-        sound = sound & (F.length(F.trim(df_col(key))) > 0)
+        sound = sound & (F.length(F.trim(col(key))) > 0)
     return stats.crossJoin(F.broadcast(total)).where(sound & (F.col("n_rows") >= F.lit(share) * F.col("__all"))).select(*keys)
