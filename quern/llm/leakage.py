@@ -27,7 +27,9 @@ from quern.llm.tokens import Vocabulary, word_strings
 from quern.llm.windows import Hasher
 from quern.staging import Staged, stage
 
-SLICE_WORDS = 1 << 16
+#: a whole number of passages of 26 words
+SLICE_WORDS = 26 * 2520
+FLUSH_WORDS = 1 << 20
 TERM_BLOCK = 256
 
 
@@ -91,8 +93,9 @@ def _halves(sizes: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, begin, more
 
 
-def _word_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, sizes, words) of consecutive rows with about SLICE_WORDS words."""
+def _word_slices(batch: pa.RecordBatch, overlap: int = 0) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, sizes, words) of consecutive rows with about SLICE_WORDS words. A longer row comes alone, in pieces of
+    SLICE_WORDS words and ``overlap`` more."""
     lists = batch.column(1)
     sizes = lists.value_lengths().to_numpy().astype(np.int64)
     ends = np.cumsum(sizes)
@@ -101,19 +104,27 @@ def _word_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray,
     while a < len(sizes):
         done = ends[a - 1] if a else 0
         b = max(a + 1, int(np.searchsorted(ends, done + SLICE_WORDS, side="right")))
-        yield batch.column(0).slice(a, b - a), sizes[a:b], values[done : ends[b - 1]]
+        ids, words = batch.column(0).slice(a, b - a), values[done : ends[b - 1]]
+        if len(words) > SLICE_WORDS:
+            for at in range(0, max(1, len(words) - overlap), SLICE_WORDS):
+                piece = words[at : at + SLICE_WORDS + overlap]
+                yield ids, np.array([len(piece)]), piece
+        else:
+            yield ids, sizes[a:b], words
         a = b
 
 
 def _encoded(docs: DataFrame, vocabulary: Vocabulary, kind: T.DataType) -> Staged:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends = [], [0]
-            for text in batch.column(1):
+            first, flat, ends = 0, [], [0]
+            for i, text in enumerate(batch.column(1)):
                 flat += vocabulary.encode(text.as_py())
                 ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc", "words"])
+                if len(flat) > FLUSH_WORDS or i + 1 == batch.num_rows:
+                    lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), lists], names=["doc", "words"])
+                    first, flat, ends = i + 1, [], [0]
 
     return stage(docs.mapInArrow(encode, T.StructType([T.StructField("doc", kind), T.StructField("words", T.ArrayType(T.IntegerType()))])), "words")
 
@@ -290,8 +301,10 @@ class _Search:
 
     def run(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = self.items
+        # a piece of a very long text holds whatever begins in it: passages, the words around them, answers
+        overlap = 4 * self.half + max([2 * len(w) for w in items.words] + [len(w) for w in items.answers], default=0)
         for batch in batches:
-            for ids, sizes, words in _word_slices(batch):
+            for ids, sizes, words in _word_slices(batch, min(overlap, SLICE_WORDS)):
                 if not len(words):
                     continue
                 row, begin, latent, residual = self.passages(sizes, words)

@@ -42,28 +42,30 @@ def _anchors(batches: Iterable[pa.RecordBatch], length: int, short: int, ranged:
     hasher, width = Hasher(), length - short + 1
     for batch in batches:
         ids = batch.column(0)
-        for a, b, starts, codes in slices(batch.column(1)):
+        for a, starts, codes, base in slices(batch.column(1), length - 1):
             if len(codes) < length:
                 continue
-            rows = np.repeat(np.arange(b - a), np.diff(starts))[: len(codes) - length + 1]
+            n = len(starts) - 1
+            rows = np.repeat(np.arange(n), np.diff(starts))[: len(codes) - length + 1]
             open_ = np.arange(len(rows)) + length <= starts[rows + 1]
             if ranged:
                 edges = np.zeros(len(codes) + 1, np.int32)
                 for sign, column, shift in ((1, 2, 0), (-1, 3, 1)):
-                    lists = batch.column(column).slice(a, b - a)
-                    at = lists.flatten().to_numpy() + np.repeat(starts[:-1], lists.value_lengths().to_numpy()) + shift
-                    np.add.at(edges, at, sign)
+                    lists = batch.column(column).slice(a, n)
+                    places = np.clip(lists.flatten().to_numpy() + shift - base, 0, len(codes))
+                    np.add.at(edges, places + np.repeat(starts[:-1], lists.value_lengths().to_numpy()), sign)
                 open_ &= np.cumsum(edges)[: len(rows)] > 0
             at = np.flatnonzero(open_)
             if not len(at):
                 continue
             hashes = hasher.windows(hasher.prefix(codes), short)
             chosen = lowest(hashes, width)[at]
+            # one run: neighbouring windows of the same representative; the last windows of a text are not open,
+            # so no run crosses texts
             i, j = _runs(chosen, at)
-            # a run of one hash position never crosses documents: the positions before `length` ends are not open
             first, last = at[i], at[j]
             row = rows[first]
-            begin = starts[row]
+            begin = starts[row] - base
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(hashes[chosen[i]].view(np.int64)),
@@ -83,7 +85,7 @@ def _repeated(found: Staged) -> DataFrame:
     hot = keys.frame.where(F.col("n") > HOT_ROWS).select("k")
     n_hot = hot.count()
     n_all = keys.count()
-    if n_all * 16 <= BROADCAST_BYTES:
+    if n_all * 24 <= BROADCAST_BYTES:
         return found.frame.join(F.broadcast(keys.frame), F.col("h") == F.col("k"), "left_semi")
     cold = keys.frame.where(F.col("n") <= HOT_ROWS).select("k")
     if not n_hot:

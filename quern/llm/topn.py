@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.columns import col, unused
 from quern.staging import broadcast_if_small, stage
 
 _TOP = 1 << 20
@@ -26,21 +27,23 @@ def score_bucket(score: Column, per_e: int = 64) -> Column:
 def top_n(df: DataFrame, group: str, score: str, tie: str, n: int = 5) -> DataFrame:
     """The ``n`` rows of highest non-null ``score`` of each non-null ``group``, with ``rank`` 1..n; all rows of
     smaller groups. Equal scores: smaller ``tie`` first (null last). Repeated rows count separately. Groups
-    or scores that are null are left out; an empty table gives no rows; other columns pass through.
+    or scores that are null are left out; an empty table gives no rows; other columns pass through (one that is
+    already named ``rank`` makes the new one ``rank_``).
 
     The histogram has one row per group and bucket, not per item; the threshold table has one row per group
     and is broadcast only within a checked size. A group of millions of equal scores shares one bucket; there
     the rank keeps at most ``n`` rows of each input partition before the shuffle.
     """
-    names = [F.col(f"`{c}`") for c in df.columns]
-    g, s = F.col(f"`{group}`"), F.col(f"`{score}`")
+    names = [col(c) for c in df.columns]
+    g, s = col(group), col(score)
+    of, bucket, count, upto, least, rank = (unused(df, x) for x in ("__g", "__b", "__n", "__upto", "__least", "rank"))
     rows = df.where(g.isNotNull() & s.isNotNull())
-    counted = rows.groupBy(g.alias("__g"), score_bucket(s).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
-    downward = Window.partitionBy("__g").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = counted.withColumn("__upto", F.sum("__n").over(downward))
+    counted = rows.groupBy(g.alias(of), score_bucket(s).alias(bucket)).agg(F.count(F.lit(1)).alias(count))
+    downward = Window.partitionBy(of).orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = counted.withColumn(upto, F.sum(count).over(downward))
     # groups with fewer than n rows keep everything
-    safe = reached.groupBy("__g").agg(F.coalesce(F.max(F.when(F.col("__upto") >= n, F.col("__b"))), F.lit(-_TOP - 1)).alias("__least"))
+    safe = reached.groupBy(of).agg(F.coalesce(F.max(F.when(F.col(upto) >= n, F.col(bucket))), F.lit(-_TOP - 1)).alias(least))
     safe = stage(safe, "thresholds")
-    survivors = rows.join(broadcast_if_small(safe.frame, safe.count(), 64), g == F.col("__g")).where(score_bucket(s) >= F.col("__least")).select(*names)
-    order = Window.partitionBy(g).orderBy(s.desc(), F.asc_nulls_last(f"`{tie}`"))
-    return survivors.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    survivors = rows.join(broadcast_if_small(safe.frame, safe.count(), 64), g == F.col(of)).where(score_bucket(s) >= F.col(least)).select(*names)
+    order = Window.partitionBy(g).orderBy(s.desc(), col(tie).asc_nulls_last())
+    return survivors.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)

@@ -76,21 +76,23 @@ def lowest(hashes: np.ndarray, width: int) -> np.ndarray:
     return (keys & _MASK).astype(np.int64)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(from, to, starts, code points)`` of consecutive rows with about SLICE_CHARS characters together;
-    ``starts`` has one entry more than rows. Null is an empty text."""
+def slices(texts: pa.Array, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """``(first row, starts, code points, base)`` of consecutive rows with about SLICE_CHARS characters together.
+
+    ``starts`` has one entry more than rows. A longer text comes alone, in pieces of SLICE_CHARS characters and
+    ``overlap`` more, ``base`` being the piece's place in it; else ``base`` is 0. Null is an empty text."""
     lengths = np.asarray(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
     ends = np.cumsum(lengths)
     a = 0
     while a < len(texts):
         done = ends[a - 1] if a else 0
         b = max(a + 1, int(np.searchsorted(ends, done + SLICE_CHARS, side="right")))
-        part = pc.fill_null(texts.slice(a, b - a), "")
-        part = pa.concat_arrays([part]) if part.offset == 0 else pa.array(part.to_pylist(), part.type)
-        offset_type = np.int64 if pa.types.is_large_string(part.type) else np.int32
-        offsets = np.frombuffer(part.buffers()[1], offset_type, len(part) + 1)
-        data = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if part.buffers()[2] else np.empty(0, np.uint8)
-        starts = np.concatenate(([0], np.cumsum(lengths[a:b])))
-        codes = data if len(data) == starts[-1] else np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        yield a, b, starts, codes
+        data = "".join(t or "" for t in texts.slice(a, b - a).to_pylist())
+        codes = np.frombuffer(data.encode("ascii"), np.uint8) if data.isascii() else np.frombuffer(data.encode("utf-32-le"), np.uint32)
+        if len(codes) > SLICE_CHARS:
+            for base in range(0, max(1, len(codes) - overlap), SLICE_CHARS):
+                piece = codes[base : base + SLICE_CHARS + overlap]
+                yield a, np.array([0, len(piece)]), piece, base
+        else:
+            yield a, np.concatenate(([0], np.cumsum(lengths[a:b]))), codes, 0
         a = b
