@@ -1,9 +1,10 @@
 """Evaluation texts inside a corpus: latent semantic retrieval, then exact and paraphrase checks.
 
 Corpus passages (overlapping windows of words) and evaluation passages are TF-IDF vectors over the words of
-the evaluation texts; no other word can add to a product with one of them. A randomised SVD (one distributed
-pass that multiplies the passage matrix with a random one, Nystroem form) gives an orthonormal basis of the
-leading latent directions. Each corpus passage is projected and compared with every evaluation passage.
+the evaluation texts; no other word can add to a product with one of them. Their latent directions come from a
+randomised SVD: one distributed pass multiplies the matrix of all corpus passages with a random one (Nystroem
+form); the evaluation passages are further rows of the matrix, weighted so that they outweigh the corpus and are
+represented (almost) without loss. Corpus passages are projected and compared with every evaluation passage.
 
 Two kinds of candidates result. *Verbatim*: a passage that holds a run of ``run`` words of an evaluation passage has
 an inner product with it of at least that run's own energy; the product is at most the latent product plus
@@ -30,6 +31,7 @@ from quern.staging import Staged, stage
 #: a whole number of passages of 26 words
 SLICE_WORDS = 26 * 2520
 FLUSH_WORDS = 1 << 20
+CHUNK = 1024  # passages projected at once
 TERM_BLOCK = 256
 
 
@@ -166,14 +168,14 @@ def _sum_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "data"])
 
 
-def fit_latent(encoded: DataFrame, items: Items, passage: int, rank: int, extra: int) -> None:
+def fit_latent(encoded: DataFrame, items: Items, passage: int, rank: int, width: int) -> None:
     """Document frequencies and the randomised SVD over the passages of all documents and items; fits ``items``.
 
     With T the passages' word counts and D the idf weights, the SVD is that of X = T D. One pass gives both df
     and Z = T'T O for a random O; X'X (D^-1 O) = D Z, so the weights, known only afterwards, need no second pass.
-    The driver gets the words x (rank + extra) matrix of one block of items: bounded by the block, not the corpus.
+    The driver gets the words x ``width`` matrix of one block of items: bounded by the block, not the corpus.
     """
-    terms, width = items.size + 1, rank + extra
+    terms = items.size + 1
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omega, df, z, total = _random(terms, width), np.zeros(terms, np.int64), np.zeros((terms, width)), 0
@@ -205,12 +207,14 @@ def fit_latent(encoded: DataFrame, items: Items, passage: int, rank: int, extra:
     y, core = weight[:, None] * z, omega.T.astype(float) @ z
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > max(1e-9 * values.max(initial=0), 1e-12)
-    if keep.any():
-        basis, _, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
-        basis = basis[:, :rank]
-    else:
-        basis = np.zeros((terms, 1))
-    items.fit(weight, basis)
+    corpus = y @ (vectors[:, keep] / np.sqrt(values[keep]))  # corpus @ corpus.T is about X'X
+    own = np.zeros((terms, len(items.passages)))
+    for p, words in enumerate(items.passages):
+        np.add.at(own[:, p], words, weight[words])
+    own *= np.sqrt(1.0 + np.square(corpus).sum()) / max(1e-9, np.sqrt(np.square(own).sum() / max(1, own.shape[1])))
+    basis, strength, _ = np.linalg.svd(np.column_stack([corpus, own]), full_matrices=False)
+    found = max(1, min(rank, int((strength > 1e-9 * strength.max(initial=0)).sum())))
+    items.fit(weight, basis[:, :found])
 
 
 class _Search:
@@ -221,82 +225,86 @@ class _Search:
         self.hasher = Hasher()
 
     def passages(self, sizes: np.ndarray, words: np.ndarray):
-        """(row, first word, latent vector, residual norm) of every passage of two halves."""
-        items = self.items
+        """(row, first word, end) of every passage: two halves each; the next passage begins with the second."""
         row, begin, more = _halves(sizes, self.half)
-        ends = np.r_[begin[1:], len(words)]
-        ends = np.where(more, ends, np.cumsum(sizes)[row]) if len(row) else ends
-        latent = np.add.reduceat(items.table[words], begin, axis=0)
-        # the last half of a row alone is part of the passage before it
-        lone = more | np.r_[True, row[1:] != row[:-1]]
-        first = np.flatnonzero(lone)
-        both = latent[first].copy()
-        pair = np.flatnonzero(more[first])
-        both[pair] += latent[first[pair] + 1]
-        half_of = np.repeat(np.arange(len(row)), ends - begin)
-        passage_of_first = np.full(len(row), -1)
-        passage_of_first[first] = np.arange(len(first))
-        passage_of_second = np.full(len(row), -1)
-        passage_of_second[first[pair] + 1] = pair
-        known = words > 0
-        keys = []
-        for of in (passage_of_first, passage_of_second):
-            p = of[half_of]
-            ok = known & (p >= 0)
-            keys.append(p[ok] * (items.size + 1) + words[ok])
-        keys = np.sort(np.concatenate(keys))
-        norm = np.zeros(len(first))
+        first = np.flatnonzero(more | np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+        row, begin = row[first], begin[first]
+        return row, begin, np.minimum(begin + 2 * self.half, np.cumsum(sizes)[row])
+
+    def project(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        """(latent vectors, residual norms) of passages."""
+        items = self.items
+        long = end - begin
+        at = np.arange(long.sum()) + np.repeat(begin - (np.cumsum(long) - long), long)
+        w, p = words[at], np.repeat(np.arange(len(begin)), long)
+        keys, n = np.unique(p[w > 0] * (items.size + 1) + w[w > 0], return_counts=True)
+        p, w = keys // (items.size + 1), keys % (items.size + 1)
+        latent = np.zeros((len(begin), items.table.shape[1]), np.float32)
         if len(keys):
-            new = np.flatnonzero(np.r_[True, np.diff(keys) != 0])
-            n = np.diff(np.r_[new, len(keys)])
-            norm = np.bincount(keys[new] // (items.size + 1), (n * items.weight[keys[new] % (items.size + 1)]) ** 2, len(first))
-        residual = np.sqrt(np.maximum(0.0, norm - np.einsum("ij,ij->i", both, both, dtype=np.float64)) + 1e-6 * norm)
-        return row[first], begin[first], both, residual
-
-    def verbatim(self, sizes, words, row, begin, product, residual):
-        """(row, item) with a common run: candidates by the safe bound, then the runs themselves."""
+            new = np.flatnonzero(np.r_[True, np.diff(p) != 0])
+            latent[p[new]] = np.add.reduceat(items.table[w] * n[:, None].astype(np.float32), new, axis=0)
+        norm = np.bincount(p, (n * items.weight[w]) ** 2, len(begin))
+        residual = np.sqrt(np.maximum(0.0, norm - np.einsum("ij,ij->i", latent, latent, dtype=np.float64)) + 1e-6 * norm)
+        return latent, residual
+
+    def verbatim(self, sizes, words, row, begin, end) -> set[tuple[int, int]]:
+        """(row, item) with a common run: candidates by the safe bound, then the runs themselves.
+
+        A run has only words of the vocabulary, so passages in which no such run begins are not projected."""
         items = self.items
-        if not len(items.grams):
+        if not len(items.grams) or len(words) < items.run:
             return set()
-        bound = product + residual[:, None].astype(np.float32) * items.residual.astype(np.float32) * np.float32(1.0001)
-        candidate = bound >= (items.least * 0.999).astype(np.float32)
-        hopeful = candidate.any(1)
-        self.pairs = int(candidate.sum())
-        if not hopeful.any():
+        upto = np.concatenate(([0], np.cumsum(words > 0)))
+        starts = np.flatnonzero(upto[items.run :] - upto[: -items.run] == items.run)
+        # a run that begins in the second half of a row's last passage lies in that passage
+        of = np.searchsorted(begin, starts, side="right") - 1
+        inside = starts + items.run <= np.cumsum(sizes)[row[of]]
+        starts, of = starts[inside], of[inside]
+        if not len(starts):
             return set()
-        hashes = self.hasher.windows(self.hasher.prefix(words), items.run)
-        if not len(hashes):
+        open_, where = np.unique(of, return_inverse=True)
+        candidate = np.concatenate([self.candidates(words, begin[c], end[c]) for c in np.array_split(open_, -(-len(open_) // CHUNK))])
+        starts, where = starts[candidate.any(1)[where]], where[candidate.any(1)[where]]
+        if not len(starts):
             return set()
-        passage = np.searchsorted(begin, np.arange(len(hashes)), side="right") - 1
-        # a run that begins in the last, lone half of a row lies in the passage before or begins it
-        ok = hopeful[passage] & (np.arange(len(hashes)) + items.run <= np.cumsum(sizes)[row[passage]])
-        at = np.flatnonzero(ok)
-        left = np.searchsorted(items.gram_hash, hashes[at], side="left")
-        right = np.searchsorted(items.gram_hash, hashes[at], side="right")
+        hashes = self.hasher.windows(self.hasher.prefix(words), items.run)[starts]
+        left = np.searchsorted(items.gram_hash, hashes, side="left")
+        right = np.searchsorted(items.gram_hash, hashes, side="right")
         found = set()
-        for p, a, b in zip(at[left < right], left[left < right], right[left < right]):
-            for g in range(a, b):
+        for k in np.flatnonzero(left < right):
+            for g in range(left[k], right[k]):
                 i = items.gram_item[g]
-                mine = items.passage_item == i
-                if candidate[passage[p]][mine].any() and np.array_equal(words[p : p + items.run], items.grams[g]):
-                    found.add((int(row[passage[p]]), int(i)))
+                if candidate[where[k], i] and np.array_equal(words[starts[k] : starts[k] + items.run], items.grams[g]):
+                    found.add((int(row[open_[where[k]]]), int(i)))
         return found
 
-    def paraphrases(self, sizes, words, row, begin, latent, product):
+    def candidates(self, words, begin, end) -> np.ndarray:
+        """passages x items: whether the product can reach the energy of the weakest run of one of the item's passages."""
+        items = self.items
+        latent, residual = self.project(words, begin, end)
+        bound = latent @ items.latent.T + residual[:, None].astype(np.float32) * items.residual.astype(np.float32)
+        hit = bound >= (items.least * 0.999).astype(np.float32)
+        out = np.zeros((len(begin), len(items.keys)), bool)
+        np.logical_or.at(out.T, items.passage_item, hit.T)
+        return out
+
+    def paraphrases(self, sizes, words, row, begin, end) -> dict[tuple[int, int], tuple[float, float]]:
         """(row, item) -> (cosine, LCS share) of passages near in the latent space and in the order of words."""
         items = self.items
-        length = np.sqrt(np.einsum("ij,ij->i", latent, latent))
-        cosine = product / np.maximum(length[:, None] * items.length.astype(np.float32), 1e-9)
         best: dict[tuple[int, int], tuple[float, float]] = {}
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        for p, q in zip(*np.nonzero(cosine >= self.cosine)):
-            r, i = int(row[p]), int(items.passage_item[q])
-            item = items.words[i]
-            a = max(int(starts[r]), int(begin[p]) - len(item) // 2)
-            share = lcs_length(item, words[a : min(int(ends[r]), int(begin[p]) + 2 * self.half + len(item) // 2)]) / max(1, len(item))
-            if share >= self.lcs:
-                best[r, i] = max(best.get((r, i), (0.0, 0.0)), (float(cosine[p, q]), share), key=lambda x: x[1])
+        for chunk in np.array_split(np.arange(len(begin)), -(-len(begin) // CHUNK)):
+            latent, _ = self.project(words, begin[chunk], end[chunk])
+            length = np.sqrt(np.einsum("ij,ij->i", latent, latent))
+            cosine = latent @ items.latent.T / np.maximum(length[:, None] * items.length.astype(np.float32), 1e-9)
+            for p, q in zip(*np.nonzero(cosine >= self.cosine)):
+                r, i = int(row[chunk[p]]), int(items.passage_item[q])
+                item = items.words[i]
+                a = max(int(starts[r]), int(begin[chunk[p]]) - len(item) // 2)
+                share = lcs_length(item, words[a : min(int(ends[r]), int(begin[chunk[p]]) + 2 * self.half + len(item) // 2)]) / max(1, len(item))
+                if share >= self.lcs:
+                    best[r, i] = max(best.get((r, i), (0.0, 0.0)), (float(cosine[p, q]), share), key=lambda x: x[1])
         return best
 
     def run(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,10 +315,9 @@ class _Search:
             for ids, sizes, words in _word_slices(batch, min(overlap, SLICE_WORDS)):
                 if not len(words):
                     continue
-                row, begin, latent, residual = self.passages(sizes, words)
-                product = latent @ items.latent.T
-                exact = self.verbatim(sizes, words, row, begin, product, residual)
-                near = self.paraphrases(sizes, words, row, begin, latent, product) if self.cosine is not None else {}
+                row, begin, end = self.passages(sizes, words)
+                exact = self.verbatim(sizes, words, row, begin, end)
+                near = self.paraphrases(sizes, words, row, begin, end) if self.cosine is not None else {}
                 pairs = sorted(exact | near.keys())
                 if not pairs:
                     continue
@@ -358,9 +365,9 @@ def leaks(
     item_text: str = "text",
     answer: str | None = "answer",
     run: int = 13,
-    rank: int = 64,
-    extra: int = 16,
-    cosine: float | None = 0.85,
+    rank: int = 512,
+    width: int = 80,
+    cosine: float | None = 0.6,
     lcs: float = 0.5,
     block: int = 2_000,
 ) -> DataFrame:
@@ -392,7 +399,7 @@ def leaks(
         numbers = lambda ws: np.array([vocabulary.ids[w] for w in ws], np.int64)
         asked_block = Items([r[0] for r in rows], [numbers(w) for w in texts], [numbers(w) for w in answers], run, vocabulary.size)
         encoded = _encoded(plain, vocabulary, kind)
-        fit_latent(encoded.frame, asked_block, passage, rank, extra)
+        fit_latent(encoded.frame, asked_block, passage, rank, width)
         search = _Search(asked_block, passage, cosine, lcs)
         part = encoded.frame.mapInArrow(lambda batches, s=search: s.run(batches), schema)
         found = part if found is None else found.unionByName(part)
