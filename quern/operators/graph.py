@@ -78,7 +78,7 @@ def find_motif(graph: Graph, pattern: str) -> DataFrame:
             found = found.join(step, on)
         else:
             found = found.crossJoin(step)
-        order += [n for n in (a, e, b) if n and n not in order]
+        order += dict.fromkeys(n for n in (a, e, b) if n and n not in order)
     for k, (_, a, _, b) in enumerate(t for t in terms if t[0]):
         gone = graph.edges.select(F.col("src").alias("__ns"), F.col("dst").alias("__nd")).distinct()
         found = found.join(gone, (F.col(bound[a]) == F.col("__ns")) & (F.col(bound[b]) == F.col("__nd")), "left_anti")

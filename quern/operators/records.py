@@ -99,7 +99,8 @@ class _Declined(Exception):
 
 def _read_block(records: pa.Array, layout: Layout) -> list[pa.Array]:
     """The typed columns of a block, or an exception if any record of it is not beyond doubt sound."""
-    if records.null_count or pc.any(pc.match_substring(records, "\r")).as_py() or not pc.all(pc.match_substring_regex(records, _RECORD)).as_py():
+    # the columnar parser would fill up an empty line with empty fields and end a record at a carriage return
+    if records.null_count or pc.any(pc.or_(pc.equal(records, ""), pc.match_substring(records, "\r"))).as_py() or not pc.all(pc.match_substring_regex(records, _RECORD)).as_py():
         raise _Declined
     block = "\n".join(records.to_pylist()).encode()
     names = [f for f, _ in layout.fields]

@@ -69,6 +69,12 @@ def number_rows(df: DataFrame, keys: Sequence[str], position: str = "position",
     return rows.join(offsets, on, "left").select(*[col(c) for c in df.columns], at.alias(unused(df, position)))
 
 
+def _scans_files_only(df: DataFrame) -> bool:
+    """Whether the partitions of ``df`` are those of a file scan, whichever columns are read."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "FileScan" in plan and not any(x in plan for x in ("Exchange", "ExistingRDD", "LocalTableScan", "Union", "Coalesce"))
+
+
 def chunked_stats(df: DataFrame, keys: Sequence[str], value: str, distinct: str, chunk_rows: int = 100_000) -> DataFrame:
     """Per key: ``n_rows``, ``sum_<value>``, ``n_<distinct>`` and ``n_chunks``, by exact offset chunking.
 
@@ -83,7 +89,8 @@ def chunked_stats(df: DataFrame, keys: Sequence[str], value: str, distinct: str,
     keys = _plain_keys(df, keys)
     k = [f"k{i}" for i in range(len(keys))]
     slim = df.select(*[col(c).alias(n) for c, n in zip(keys, k)], col(value).cast("long").alias("v"), col(distinct).alias("d"))
-    placed = number_rows(slim, k, "at", pin=False).withColumn("chunk", F.floor(F.col("at") / chunk_rows))
+    # a file scan is read twice; the partitions of anything else are written first, so that both passes see the same
+    placed = number_rows(slim, k, "at", pin=not _scans_files_only(slim)).withColumn("chunk", F.floor(F.col("at") / chunk_rows))
     pieces = placed.groupBy(*k, "chunk", "d").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("v").alias("nv"),

@@ -31,8 +31,10 @@ def nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5
 
 def _matcher(rows, k: int):
     ids = np.array([r[0] for r in rows], np.int64)
+    if not len(ids):
+        return lambda batches: iter(())
     wanted = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    length = np.linalg.norm(wanted, axis=1) if len(rows) else np.empty(0)
+    length = np.linalg.norm(wanted, axis=1)
     ids, wanted = ids[length > 0], wanted[length > 0] / length[length > 0, None]
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
