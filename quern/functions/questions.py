@@ -50,7 +50,7 @@ def check(spark: SparkSession, sql: str) -> str | None:
             return f"only SELECT is allowed, not {kind}"
         spark.sql(sql)._jdf.queryExecution().executedPlan()  # analysed and planned, as by EXPLAIN, not run
     except Exception as e:  # noqa: BLE001
-        return str(e).split("\n")[0]
+        return next((x for x in map(str.strip, str(e).splitlines()) if x), type(e).__name__)
     return None
 
 
