@@ -68,3 +68,11 @@ def answer(spark: SparkSession, client: Client, question: str, tables: dict[str,
     if mode is Mode.EXPLAIN:
         return Answer(sql, None, spark.sql(f"EXPLAIN FORMATTED {sql}").first()[0], None)
     return Answer(sql, spark.sql(sql), None, None)
+
+
+def transform(df: DataFrame, wish: str, client: Client) -> DataFrame:
+    """``df`` changed as a sentence asks for: the client's SQL over the view ``this``, behind the same guard."""
+    found = answer(df.sparkSession, client, wish, {"this": df})
+    if found.error:
+        raise ValueError(found.error)
+    return found.rows

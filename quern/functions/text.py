@@ -37,9 +37,10 @@ def folded_words(df: DataFrame, line: str, longer_than: int = 0) -> DataFrame:
 
 
 def inverted_index(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """``(word, docs)``: the sorted documents of each lower-cased word."""
-    pairs = df.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(F.filter(F.split(F.lower(text), r"[ \t\r\n]+"), lambda w: w != ""))).alias("word"))
-    return pairs.groupBy("word").agg(F.sort_array(F.collect_set("doc")).alias("docs"))
+    """``(doc, word)``: the postings of each lower-cased word, one row each, so that a word of all documents is no single
+    value. The words of a document are made distinct inside its row."""
+    found = F.array_distinct(F.filter(F.split(F.lower(text), r"[ \t\r\n]+"), lambda w: w != ""))
+    return df.select(doc, F.explode(found).alias("word")).distinct()
 
 
 def cooccurrence(df: DataFrame, line: str) -> DataFrame:

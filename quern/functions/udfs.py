@@ -55,3 +55,15 @@ def word_rows(df: DataFrame, key: str, text: str) -> DataFrame:
             yield b.assign(word=b[text].str.split(" ")).explode("word")[[key, "word"]]
 
     return df.select(key, text).mapInPandas(split, f"{key} {dict(df.dtypes)[key]}, word string")
+
+
+def upto():
+    """A table function: 0, 1 ... n - 1."""
+
+    @F.udtf(returnType="i bigint")
+    class Upto:
+        def eval(self, n: int):
+            for i in range(n or 0):
+                yield (i,)
+
+    return Upto

@@ -31,20 +31,17 @@ def cogroup(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFram
     return tagged.groupBy(key).agg(F.sort_array(F.collect_list("l")).alias("lefts"), F.sort_array(F.collect_list("r")).alias("rights"))
 
 
-def reduce_side_join(left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str) -> DataFrame:
+def reduce_side_join(left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str, salts: int = 8) -> DataFrame:
     """Inner join the MapReduce way: tag each side, put both together, group by key, pair the two lists.
 
-    Keeps every pair of a repeated key; null keys match nothing. Meant to show the plan; a key's rows meet in
-    one task, so use :func:`salted_join` or a plain join for skewed keys.
+    Keeps every pair of a repeated key; null keys match nothing. The right side of a key is spread over ``salts`` groups, with
+    a copy of the left side each, so that no single task gets all of a hot key.
     """
-    l = left.withColumnsRenamed({key: "k", left_value: "v"}).select("k", F.col("v").alias("l"))
-    r = right.withColumnsRenamed({key: "k", right_value: "v"}).select("k", F.col("v").alias("r"))
-    lists = (
-        l.select("k", F.struct(F.lit(0).alias("side"), "l", F.lit(None).cast(r.schema["r"].dataType).alias("r")).alias("t"))
-        .unionByName(r.select("k", F.struct(F.lit(1).alias("side"), F.lit(None).cast(l.schema["l"].dataType).alias("l"), "r").alias("t")))
-        .where("k IS NOT NULL")
-        .groupBy("k")
-        .agg(F.collect_list("t").alias("ts"))
+    salt = F.pmod(F.xxhash64(key, right_value), F.lit(salts)).cast("int")
+    l_kind, r_kind = left.schema[left_value].dataType, right.schema[right_value].dataType
+    tagged = left.select(F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), F.col(left_value).alias("l"), F.lit(None).cast(r_kind).alias("r")).unionByName(
+        right.select(F.col(key).alias("k"), salt.alias("salt"), F.lit(1).alias("side"), F.lit(None).cast(l_kind).alias("l"), F.col(right_value).alias("r"))
     )
-    sides = lists.select("k", F.filter("ts", lambda t: t["side"] == 0).alias("ls"), F.filter("ts", lambda t: t["side"] == 1).alias("rs"))
+    lists = tagged.where("k IS NOT NULL").groupBy("k", "salt").agg(F.collect_list(F.struct("side", "l", "r")).alias("ts"))
+    sides = lists.select("k", F.filter("ts", lambda t: t["side"] == 0).alias("ls"), F.filter("ts", lambda t: t["side"] == 1).alias("rs")).where(F.size("rs") > 0)
     return sides.select("k", F.explode("ls").alias("a"), "rs").select("k", "a", F.explode("rs").alias("b")).select(F.col("k").alias(key), F.col("a.l").alias(left_value), F.col("b.r").alias(right_value))

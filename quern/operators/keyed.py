@@ -21,6 +21,11 @@ def group_by_key(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("values"))
 
 
+def group_and_map(df: DataFrame, keys: Sequence[str], results: dict[str, Column]) -> DataFrame:
+    """Group by key, then map each group's values to results. Given as aggregates, no group is ever held as a list."""
+    return df.groupBy(*keys).agg(*[c.alias(n) for n, c in results.items()])
+
+
 def combine_by_key(df: DataFrame, keys: Sequence[str], create: dict[str, Column], merge: dict[str, Merge], finish: dict[str, Column] | None = None) -> DataFrame:
     """The combine triple: ``create`` turns a row into named accumulators, ``merge`` combines each of them
     (inside the partition, then across), ``finish`` makes the results. Accumulators need not be of the value's type."""

@@ -140,8 +140,8 @@ def chunked_stats(df: DataFrame, keys: Sequence[str], value: str, distinct: str,
 
 def heavy_keys(stats: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
     """Of :func:`chunked_stats`, the keys with no null or blank part that hold ``share`` of all rows or more."""
-    total = stats.agg(F.sum("n_rows").alias("__all"))  # one row: its broadcast is bounded
     sound = F.lit(True)
     for key in keys:
         sound = sound & (F.length(F.trim(col(key))) > 0)
-    return stats.crossJoin(F.broadcast(total)).where(sound & (F.col("n_rows") >= F.lit(share) * F.col("__all"))).select(*keys)
+    everything = stats.agg(F.sum("n_rows")).scalar()
+    return stats.where(sound & (F.col("n_rows") >= F.lit(share) * everything)).select(*[col(k) for k in keys])

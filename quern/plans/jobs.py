@@ -43,18 +43,20 @@ on(
 on("documents", "M07_palindromes", f"SELECT word, count(*) AS n FROM ({_FOLDED}) WHERE length(word) >= 3 AND word = reverse(word) AND regexp_full_match(word, '[a-z0-9]+') GROUP BY 1", lambda t: words.palindromes(words.folded_words(_lines(t), "line", 2).where(F.col("word").rlike(r"\A[a-z0-9]+\z"))))
 
 
-def _pairs(t: DataFrame) -> DataFrame:
-    both = t.select(F.col("s_suppkey").alias("person"), F.col("s_nationkey").alias("n"))
-    return both.alias("a").join(both.alias("b"), (F.col("a.n") == F.col("b.n")) & (F.col("a.person") != F.col("b.person"))).select(F.col("a.person").alias("person"), F.col("b.person").alias("friend"))
+def _friends(t: DataFrame) -> DataFrame:
+    """Suppliers whose numbers differ by 1, 2, 3 or 7 know each other."""
+    ids = t.select(F.col("s_suppkey").alias("person"))
+    near = ids.select("person", F.explode(F.array(*[F.lit(k) for k in (-7, -3, -2, -1, 1, 2, 3, 7)])).alias("k")).select("person", (F.col("person") + F.col("k")).alias("friend"))
+    return near.join(ids.select(F.col("person").alias("friend")), "friend", "left_semi").select("person", "friend")
 
 
 on(
     "supplier", "M08_common_friends",
-    "WITH f AS (SELECT a.s_suppkey AS p, b.s_suppkey AS q FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey), l AS (SELECT p, list(DISTINCT q) AS fs FROM f GROUP BY 1) "
+    "WITH f AS (SELECT a.s_suppkey AS p, b.s_suppkey AS q FROM supplier a JOIN supplier b ON abs(a.s_suppkey - b.s_suppkey) IN (1, 2, 3, 7)), l AS (SELECT p, list(DISTINCT q) AS fs FROM f GROUP BY 1) "
     "SELECT f.p AS a, f.q AS b, list_sort(list_intersect(x.fs, y.fs)) AS common FROM f JOIN l x ON f.p = x.p JOIN l y ON f.q = y.p WHERE f.p < f.q",
-    lambda t: keyed.common_friends(_pairs(t)),
+    lambda t: keyed.common_friends(_friends(t)),
 )
-on("documents", "A35_inverted_index", r"SELECT word, list(DISTINCT doc_id ORDER BY doc_id) AS docs FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[ \t\r\n]+'), lambda w: w <> '')) AS word FROM documents) GROUP BY 1", lambda t: words.inverted_index(t, "doc_id", "text"))
+on("documents", "A35_inverted_index", r"SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[ \t\r\n]+'), lambda w: w <> '')) AS word FROM documents", lambda t: words.inverted_index(t, "doc_id", "text"))
 on(
     "documents", "A36_cooccurrence",
     f"WITH w AS (SELECT DISTINCT doc_id, i, word FROM (SELECT doc_id, i, {_SPLIT.format(x='lower(line)')} AS word FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))) SELECT x.word AS a, y.word AS b, count(*) AS n FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.i = y.i AND x.word < y.word GROUP BY 1, 2",
@@ -72,7 +74,7 @@ def _exact(column: Column) -> Column:
     return F.sum(column.cast("decimal(18,4)")).cast("double")
 
 
-on("events", "A19_group_by_key", f"SELECT event_type, {_EXACT} AS s, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1", lambda t: t.where("value IS NOT NULL").groupBy("event_type").agg(F.collect_list(F.col("value").cast("decimal(18,4)")).alias("vs")).select("event_type", F.aggregate("vs", F.lit(0).cast("decimal(38,4)"), lambda a, x: (a + x).cast("decimal(38,4)")).cast("double").alias("s"), F.size("vs").cast("bigint").alias("n")))
+on("events", "A19_group_by_key", f"SELECT event_type, {_EXACT} AS s, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1", lambda t: keyed.group_and_map(t.where("value IS NOT NULL"), ["event_type"], {"s": _exact(F.col("value")), "n": F.count("*")}))
 on("orders", "A20_reduce_by_key", "SELECT o_custkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1", lambda t: keyed.reduce_by_key(t, ["o_custkey"], "o_totalprice", F.max))
 on(
     "events", "A21_combine_by_key", f"SELECT event_type, {_EXACT} / count(value) AS a, count(value) AS n FROM events GROUP BY 1",
@@ -118,7 +120,7 @@ on(
     "SELECT event_id, user_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))",
     lambda t: keyed.sessions(t, "user_id", "ts", "event_id").select("event_id", "user_id", "session"),
 )
-on("events", "P15_map_partitions", "SELECT count(*) AS n, min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL", lambda t: keyed.fold_partitions(t.where("value IS NOT NULL").select(F.col("value").alias("v")), _ends, "n bigint, lo double, hi double").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+on("events", "PR15_map_partitions", "SELECT count(*) AS n, min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL", lambda t: keyed.fold_partitions(t.where("value IS NOT NULL").select(F.col("value").alias("v")), _ends, "n bigint, lo double, hi double").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
 on("documents", "F12_word_filter", f"SELECT word, count(*) AS n FROM ({_FOLDED}) WHERE length(word) >= 3 GROUP BY 1", lambda t: words.count_words(words.folded_words(_lines(t), "line", 2)))
 on("documents", "F13_total_filter", f"SELECT word, count(*) AS n FROM ({_FOLDED}) GROUP BY 1 HAVING count(*) >= 4", lambda t: words.count_words(words.folded_words(_lines(t), "line"), least=4))
 on("documents", "F19_palindrome_lines", f"SELECT doc_id, line FROM ({_LINES}) WHERE line = reverse(line) AND regexp_full_match(line, '[ -~]+')", lambda t: _lines(t, "doc_id").where((F.col("line") == F.reverse("line")) & F.col("line").rlike(r"\A[ -~]+\z")))
@@ -141,3 +143,9 @@ on("events", "E14_json_struct", "SELECT event_id, CAST(props->>'$.k' AS INTEGER)
 on("part", "E15_arrays", "SELECT p_partkey, CAST(len(string_split(p_type, ' ')) AS BIGINT) AS n, unnest(string_split(p_type, ' ')) AS w FROM part", lambda t: t.select("p_partkey", F.size(F.split("p_type", " ")).cast("bigint").alias("n"), F.explode(F.split("p_type", " ")).alias("w")))
 on("customer", "E16_maps", "SELECT c_custkey, ['segment', 'name'] AS ks, [c_mktsegment, c_name] AS vs FROM customer", lambda t: t.select("c_custkey", F.create_map(F.lit("segment"), "c_mktsegment", F.lit("name"), "c_name").alias("m")).select("c_custkey", F.map_keys("m").alias("ks"), F.map_values("m").alias("vs")))
 on("orders", "E17_batch_number", None, lambda t: t.select("o_orderkey", F.floor(F.monotonically_increasing_id() / 100).alias("batch")))
+
+# ---- named jobs that are one of the plans above, over other tables ------------------------------------------
+on("lineitem", "A32_arg_max", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) = 1", lambda t: keyed.best_per_key(t, "l_orderkey", "l_linenumber", "l_quantity"))
+on("eval_items", "A34_word_count", f"SELECT word, count(*) AS n FROM (SELECT {_SPLIT.format(x='lower(text)')} AS word FROM eval_items) GROUP BY 1", lambda t: words.count_words(words.folded_words(t, "text")))
+on("scu_continents_1", "M09_even_squares", "SELECT rec_id, rec_id * rec_id AS square FROM scu_continents_1 WHERE rec_id % 2 = 0", lambda t: t.where("rec_id % 2 = 0").select("rec_id", (F.col("rec_id") * F.col("rec_id")).alias("square")))
+on("continents_countries_temp", "M10_avg_min_max", "SELECT country, round(avg(temperature), 6) AS a, min(temperature) AS lo, max(temperature) AS hi FROM continents_countries_temp GROUP BY 1", lambda t: t.groupBy("country").agg(F.round(F.avg("temperature"), 6).alias("a"), F.min("temperature").alias("lo"), F.max("temperature").alias("hi")))

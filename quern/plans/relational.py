@@ -37,37 +37,37 @@ def in_sql(query: str, text: str, tables: str, sql: str | None = None) -> None:
 
 
 # ---- projection and columns -------------------------------------------------------------------------------
-on("nation", "P01_select", "SELECT n_nationkey, n_name FROM nation", lambda t: t.select("n_nationkey", F.col("n_name")))
-on("nation", "P02_select_expr", "SELECT n_nationkey AS k, upper(n_name) AS u FROM nation", lambda t: t.selectExpr("n_nationkey AS k", "upper(n_name) AS u"))
+on("nation", "PR01_select", "SELECT n_nationkey, n_name FROM nation", lambda t: t.select("n_nationkey", F.col("n_name")))
+on("nation", "PR02_select_expr", "SELECT n_nationkey AS k, upper(n_name) AS u FROM nation", lambda t: t.selectExpr("n_nationkey AS k", "upper(n_name) AS u"))
 on(
-    "part", "P03_expr", "SELECT p_partkey, p_size * 2 AS twice, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS label FROM part",
+    "part", "PR03_expr", "SELECT p_partkey, p_size * 2 AS twice, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS label FROM part",
     lambda t: t.select("p_partkey", F.expr("p_size * 2 AS twice"), F.expr("IF(p_size > 25, 'big', 'small') AS label")),
 )
 on(
-    "customer", "P04_with_column", "SELECT c_custkey, upper(c_name) AS c_name, c_acctbal * 2 AS twice FROM customer",
+    "customer", "PR04_with_column", "SELECT c_custkey, upper(c_name) AS c_name, c_acctbal * 2 AS twice FROM customer",
     lambda t: t.withColumn("twice", F.col("c_acctbal") * 2).withColumn("c_name", F.upper("c_name")).select("c_custkey", "c_name", "twice"),
 )
-on("region", "P05_rename", "SELECT r_regionkey AS id, r_name AS r_name FROM region", lambda t: t.withColumnRenamed("r_regionkey", "id"))
-on("nation", "P06_drop", "SELECT n_name FROM nation", lambda t: t.drop("n_nationkey", t.n_regionkey))
-on("supplier", "P07_alias", "SELECT s_suppkey AS supplier, s_acctbal AS balance FROM supplier", lambda t: t.select(F.col("s_suppkey").alias("supplier"), F.col("s_acctbal").alias("balance")))
+on("region", "PR05_rename", "SELECT r_regionkey AS id, r_name AS r_name FROM region", lambda t: t.withColumnRenamed("r_regionkey", "id"))
+on("nation", "PR06_drop", "SELECT n_name FROM nation", lambda t: t.drop("n_nationkey", t.n_regionkey))
+on("supplier", "PR07_alias", "SELECT s_suppkey AS supplier, s_acctbal AS balance FROM supplier", lambda t: t.select(F.col("s_suppkey").alias("supplier"), F.col("s_acctbal").alias("balance")))
 on(
-    "customer", "P08_case", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS grade FROM customer",
+    "customer", "PR08_case", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS grade FROM customer",
     lambda t: t.select("c_custkey", F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "low").otherwise("high").alias("grade")),
 )
-on("customer", "P09_boolean_column", "SELECT c_custkey, true AS rich FROM customer WHERE c_acctbal > 5000", lambda t: t.withColumn("rich", F.col("c_acctbal") > 5000).filter("rich").select("c_custkey", "rich"))
-on("nation", "P10_struct_field", "SELECT n_nationkey AS k, n_name AS label FROM nation", lambda t: t.select(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("label")).alias("s")).select("s.k", "s.label"))
-on("orders", "P11_cast", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INTEGER) AS whole FROM orders", lambda t: t.select("o_orderkey", F.col("o_totalprice").cast("int").alias("whole")))
-on("region", "P12_map_rows", "SELECT r_name || '!' AS loud, CAST(length(r_name) AS BIGINT) AS n FROM region", lambda t: t.select(F.concat("r_name", F.lit("!")).alias("loud"), F.length("r_name").cast("bigint").alias("n")))
-on("part", "P13_flat_map", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part", lambda t: t.select("p_partkey", F.explode(F.split("p_type", " ")).alias("word")))
-on("customer", "P14_map_values", "SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer", lambda t: t.select("c_custkey", "c_acctbal").withColumn("c_acctbal", F.col("c_acctbal") + 1))
-on("region", "P17_identity", "SELECT r_regionkey, r_name FROM region", lambda t: t.select("r_regionkey", "r_name"))
+on("customer", "PR09_boolean_column", "SELECT c_custkey, true AS rich FROM customer WHERE c_acctbal > 5000", lambda t: t.withColumn("rich", F.col("c_acctbal") > 5000).filter("rich").select("c_custkey", "rich"))
+on("nation", "PR10_struct_field", "SELECT n_nationkey AS k, n_name AS label FROM nation", lambda t: t.select(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("label")).alias("s")).select("s.k", "s.label"))
+on("orders", "PR11_cast", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INTEGER) AS whole FROM orders", lambda t: t.select("o_orderkey", F.col("o_totalprice").cast("int").alias("whole")))
+on("region", "PR12_map_rows", "SELECT r_name || '!' AS loud, CAST(length(r_name) AS BIGINT) AS n FROM region", lambda t: t.select(F.concat("r_name", F.lit("!")).alias("loud"), F.length("r_name").cast("bigint").alias("n")))
+on("part", "PR13_flat_map", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part", lambda t: t.select("p_partkey", F.explode(F.split("p_type", " ")).alias("word")))
+on("customer", "PR14_map_values", "SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer", lambda t: t.select("c_custkey", "c_acctbal").withColumn("c_acctbal", F.col("c_acctbal") + 1))
+on("region", "PR17_identity", "SELECT r_regionkey, r_name FROM region", lambda t: t.select("r_regionkey", "r_name"))
 
 
 def _schema_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, k) for n, k in table(spark, d, "nation").dtypes], "column_name string, kind string")
 
 
-registry.add("P18_schema", _schema_rows, "SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) AS t(column_name, kind)")
+registry.add("PR18_schema", _schema_rows, "SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) AS t(column_name, kind)")
 
 # ---- filters ----------------------------------------------------------------------------------------------
 on("part", "F01_compare", "SELECT p_partkey FROM part WHERE p_size > 10 AND p_size < 20 AND p_brand <> 'Brand#1'", lambda t: t.filter((F.col("p_size") > 10) & (F.col("p_size") < 20) & (F.col("p_brand") != "Brand#1")).select("p_partkey"))
@@ -187,6 +187,8 @@ on("part", "W04_dense_rank", f"SELECT p_partkey, dense_rank() {_P} AS r FROM par
 on("orders", "W05_top_n", f"SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() {_W} <= 2", lambda t: t.withColumn("rn", F.row_number().over(_w())).where("rn <= 2").select("o_custkey", "o_orderkey"))
 on("part", "W06_running", f"SELECT p_partkey, CAST(sum(p_size) {_P} AS BIGINT) AS s FROM part", lambda t: t.select("p_partkey", F.sum("p_size").over(_p()).alias("s")))
 on("orders", "W07_lag_lead", f"SELECT o_orderkey, lag(o_totalprice) {_W} AS before, lead(o_totalprice) {_W} AS after FROM orders", lambda t: t.select("o_orderkey", F.lag("o_totalprice").over(_w()).alias("before"), F.lead("o_totalprice").over(_w()).alias("after")))
+on("supplier", "W01_ordered_partition", "SELECT s_suppkey, first_value(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS richest FROM supplier", lambda t: t.select("s_suppkey", F.first("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("richest")))
+on("customer", "W08_lead", "SELECT c_custkey, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS next FROM customer", lambda t: t.select("c_custkey", F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("next")))
 on("part", "W09_percent_rank", f"SELECT p_partkey, round(percent_rank() {_P}, 6) AS r FROM part", lambda t: t.select("p_partkey", F.round(F.percent_rank().over(_p()), 6).alias("r")))
 on("orders", "W10_ntile", f"SELECT o_orderkey, ntile(3) {_W} AS part FROM orders", lambda t: t.select("o_orderkey", F.ntile(3).over(_w()).cast("bigint").alias("part")))
 def _by():
@@ -206,6 +208,7 @@ in_sql("T03_limit", "SELECT s_suppkey FROM supplier ORDER BY s_acctbal, s_suppke
 registry.add("T04_take", lambda spark, d: spark.createDataFrame((t := table(spark, d, "nation").orderBy("n_nationkey")).take(5), t.schema), "SELECT * FROM nation ORDER BY n_nationkey LIMIT 5")
 on("customer", "T05_take_ordered", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 5", lambda t: t.select("c_custkey", "c_acctbal").orderBy("c_acctbal", "c_custkey").limit(5))
 on("customer", "T06_top", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5", lambda t: t.select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(5))
+on("orders", "T07_sort_by_take", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", lambda t: t.select("o_orderkey", "o_totalprice").sort("o_totalprice", "o_orderkey", ascending=[False, True]).limit(10))
 on("part", "T08_sort_by_key", "SELECT p_size, count(*) AS n FROM part GROUP BY 1 ORDER BY 1", lambda t: t.groupBy("p_size").agg(F.count("*").alias("n")).orderBy("p_size"))
 on("orders", "T09_sample", None, lambda t: t.sample(0.1, seed=7).select("o_orderkey"))
 registry.add("T10_approx_quantile", lambda spark, d: spark.createDataFrame([tuple(table(spark, d, "orders").approxQuantile("o_totalprice", [0.25, 0.5, 0.75], 0.01))], "q25 double, q50 double, q75 double"))
@@ -217,6 +220,6 @@ on("orders", "U03_distinct", "SELECT DISTINCT o_orderpriority FROM orders", lamb
 over(
     "customer supplier", "U04_list_intersection",
     "SELECT c.k, list_sort(list_intersect(a, b)) AS both FROM (SELECT c_mktsegment AS k, list(DISTINCT c_nationkey) AS a FROM customer GROUP BY 1) c, (SELECT list(DISTINCT s_nationkey) AS b FROM supplier WHERE s_acctbal < 0) s",
-    lambda c, s: c.groupBy(F.col("c_mktsegment").alias("k")).agg(F.collect_set("c_nationkey").alias("a")).crossJoin(F.broadcast(s.where("s_acctbal < 0").agg(F.collect_set("s_nationkey").alias("b")))).select("k", F.sort_array(F.array_intersect("a", "b")).alias("both")),
+    lambda c, s: c.groupBy(F.col("c_mktsegment").alias("k")).agg(F.collect_set("c_nationkey").alias("a")).select("k", F.sort_array(F.array_intersect("a", s.where("s_acctbal < 0").agg(F.collect_set("s_nationkey")).scalar())).alias("both")),
 )
 over("customer nation", "U05_exclusion_list", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)", lambda c, n: c.join(F.broadcast(n.where("n_regionkey = 0")), c.c_nationkey == n.n_nationkey, "left_anti").select("c_custkey"))

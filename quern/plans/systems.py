@@ -11,7 +11,7 @@ from quern.functions import model_text, questions, udfs
 from quern.operators import graph, recommend, vectors
 from quern.plans.registry import Registry, table
 from quern.sources import files, wide_column
-from quern.staging import scratch_path
+from quern.staging import scratch_path, stage
 from quern.streaming import windows
 
 registry = Registry()
@@ -75,6 +75,29 @@ def _supplier(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
 
 
+registry.add("S10_text_source", lambda spark, d: spark.read.text(files.write_any(table(spark, d, "region").select("r_name"), "text", scratch_path(spark, "text"))).select(F.upper("value").alias("loud")), "SELECT upper(r_name) AS loud FROM region")
+registry.add("S17_generic_reader", lambda spark, d: files.read_any(spark, "parquet", f"{d}/region.parquet"), "SELECT * FROM region")
+
+
+@registry.query("S19_jdbc_options", "SELECT 'partitionColumn' AS option, 'id' AS value UNION ALL SELECT 'numPartitions', '16'")
+def s19(spark: SparkSession, d: str) -> DataFrame:
+    """No driver is at hand: the options of a partitioned read."""
+    options = files.jdbc_options("jdbc:postgresql://host/db", "orders", "org.postgresql.Driver", "reader", "QUERN_DB_PASSWORD", "id", 0, 1_000_000, 16)
+    return spark.createDataFrame([(k, options[k]) for k in ("partitionColumn", "numPartitions")], "option string, value string")
+
+
+@registry.query("S20_uri_schemes", "SELECT * FROM region")
+def s20(spark: SparkSession, d: str) -> DataFrame:
+    """Readers take any URI that a Hadoop file system serves; here file://, elsewhere s3a://, gs:// or abfss://."""
+    return files.read_any(spark, "parquet", f"file://{d}/region.parquet")
+
+
+@registry.query("S22_directories_as_input", "SELECT s_name AS value FROM supplier UNION ALL SELECT n_name FROM nation")
+def s22(spark: SparkSession, d: str) -> DataFrame:
+    paths = [files.write_any(table(spark, d, t).select(c), "text", scratch_path(spark, t)) for t, c in (("supplier", "s_name"), ("nation", "n_name"))]
+    return spark.read.text(paths)
+
+
 @registry.query("S11_csv_header", _SUPPLIER.format(k="INTEGER"))
 def s11(spark: SparkSession, d: str) -> DataFrame:
     return files.read_csv(spark, files.write_any(_supplier(spark, d), "csv", scratch_path(spark, "csv"), header=True))
@@ -137,6 +160,24 @@ def _orders_by_year(spark: SparkSession, d: str, **how) -> str:
     return files.write_any(orders, "parquet", scratch_path(spark, "years"), partition_by=["y"], **how)
 
 
+@registry.query("K01_csv_header_per_file", "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, s_acctbal FROM supplier")
+def k01(spark: SparkSession, d: str) -> DataFrame:
+    return files.read_csv(spark, files.write_any(_supplier(spark, d).repartition(3), "csv", scratch_path(spark, "csv3"), header=True))
+
+
+@registry.query("K03_generic_writer", "SELECT * FROM region")
+def k03(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.format("json").schema("r_regionkey int, r_name string").load(files.write_any(table(spark, d, "region"), "json", scratch_path(spark, "generic")))
+
+
+@registry.query("PR16_for_each_partition", "SELECT count(*) AS n FROM nation")
+def p16(spark: SparkSession, d: str) -> DataFrame:
+    """Side effects per partition; what comes back is the count that the partitions reported, nothing they returned."""
+    seen = spark.sparkContext.accumulator(0)
+    table(spark, d, "nation").foreachPartition(lambda rows: seen.add(sum(1 for _ in rows)))
+    return spark.createDataFrame([(seen.value,)], "n bigint")
+
+
 @registry.query("K02_parquet_round_trip", "SELECT * FROM orders")
 def k02(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(files.write_any(table(spark, d, "orders"), "parquet", scratch_path(spark, "orders"), codec="zstd"))
@@ -247,8 +288,8 @@ def trade(spark: SparkSession, d: str) -> graph.Graph:
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     flows = lines.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     counted = flows.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("all"))
-    edges = counted.crossJoin(F.broadcast(total)).where("src <> dst AND n * 10000 > 17 * all").select("src", "dst", "n")
+    counted = stage(counted, "flows").frame
+    edges = counted.where((F.col("src") != F.col("dst")) & (F.col("n") * 10000 > counted.agg(F.sum("n")).scalar() * 17))
     return graph.Graph(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), "n_name"), edges)
 
 
@@ -355,6 +396,14 @@ def x08(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").groupBy("c_nationkey").agg(udfs.spread()("c_acctbal").alias("span"))
 
 
+@registry.query("X09_table_function", "SELECT n_nationkey, unnest(range(0, CAST(n_nationkey % 3 + 1 AS BIGINT))) AS i FROM nation")
+def x09(spark: SparkSession, d: str) -> DataFrame:
+    """Beyond the course: a Python table function, joined laterally."""
+    spark.udtf.register("quern_upto", udfs.upto())
+    table(spark, d, "nation").createOrReplaceTempView("udtf_nation")
+    return spark.sql("SELECT n_nationkey, i FROM udtf_nation, LATERAL quern_upto(n_nationkey % 3 + 1)")
+
+
 # ---- model text -------------------------------------------------------------------------------------------
 _ASCII = r"regexp_full_match(text, '[\x01-\x7f]*')"
 
@@ -373,6 +422,48 @@ def l03(spark: SparkSession, d: str) -> DataFrame:
     return model_text.batch_summaries(table(spark, d, "documents"), "doc_id", "text", model_text.Offline)
 
 
+@registry.query("L02_one_call", "SELECT 'problem' AS reply")
+def l02(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(model_text.ask(model_text.Offline(), "classify\nAn error, again"),)], "reply string")
+
+
+@registry.query("J24_join_batches_back", "SELECT count(*) AS n_rows, count(*) AS n_replies FROM documents")
+def j24(spark: SparkSession, d: str) -> DataFrame:
+    return l03(spark, d).agg(F.count("*").alias("n_rows"), F.count("reply").alias("n_replies"))
+
+
+@registry.query("L06_validate_first", "SELECT 'SELECT r_name FROM guard_region' AS sql, true AS allowed UNION ALL SELECT 'DROP TABLE guard_region', false UNION ALL SELECT 'SELECT nope FROM guard_region', false")
+def l06(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "region").createOrReplaceTempView("guard_region")
+    tried = ("SELECT r_name FROM guard_region", "DROP TABLE guard_region", "SELECT nope FROM guard_region")
+    return spark.createDataFrame([(t, questions.check(spark, t) is None) for t in tried], "sql string, allowed boolean")
+
+
+@registry.query("L07_modes", "SELECT * FROM (VALUES ('insight'), ('sql'), ('explain_sql')) AS t(mode)")
+def l07(spark: SparkSession, d: str) -> DataFrame:
+    region = {"mode_region": table(spark, d, "region")}
+    answers = {m: questions.answer(spark, lambda _: "SELECT count(*) AS n FROM mode_region", "How many?", region, m) for m in questions.Mode}
+    return spark.createDataFrame([(m.value,) for m, a in answers.items() if not a.error and (a.text or a.rows is not None)], "mode string")
+
+
+@registry.query("L10_broadcast_config", f"SELECT doc_id, CASE WHEN contains(lower(text), 'error') THEN 'problem' ELSE 'normal' END AS reply FROM documents WHERE {_ASCII}")
+def l10(spark: SparkSession, d: str) -> DataFrame:
+    task = spark.sparkContext.broadcast({"task": "classify"})
+    return _ascii(spark, d).repartition(16).select("doc_id", model_text.per_row(model_text.Offline, task.value["task"])("text").alias("reply"))
+
+
+@registry.query("L12_english_transform", "SELECT r_name FROM region WHERE r_regionkey < 3")
+def l12(spark: SparkSession, d: str) -> DataFrame:
+    return questions.transform(table(spark, d, "region"), "keep the first three, names only", lambda _: "SELECT r_name FROM this WHERE r_regionkey < 3")
+
+
+@registry.query("L13_chart_rows", "SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1")
+def l13(spark: SparkSession, d: str) -> DataFrame:
+    """The bounded rows behind a bar or pie chart."""
+    counted = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
+    return spark.createDataFrame(files.to_records(counted, 100), "label string, n bigint")
+
+
 @registry.query("L04_partition_batches")
 def l04(spark: SparkSession, d: str) -> DataFrame:
     return model_text.per_batch(table(spark, d, "documents"), "doc_id", "text", model_text.Offline)
