@@ -31,6 +31,7 @@ from quern.staging import Staged, stage
 #: a whole number of passages of 26 words
 SLICE_WORDS = 26 * 2520
 FLUSH_WORDS = 1 << 20
+SUM_AT_ONCE = 1024  # partitions whose sums one task adds up
 CHUNK = 1024  # passages projected at once
 TERM_BLOCK = 256
 
@@ -189,9 +190,13 @@ def fit_latent(encoded: DataFrame, items: Items, passage: int, rank: int, width:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([both[a : a + TERM_BLOCK].tobytes() for a in blocks], pa.binary())], names=["block", "data"])
 
     kind = "block int, data binary"
-    parts = encoded.mapInArrow(sketch, kind)
-    partitions = max(1, min(-(-terms // TERM_BLOCK), int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    summed = parts.repartition(partitions, "block").mapInArrow(_sum_blocks, kind)
+    summed = encoded.mapInArrow(sketch, kind)
+    blocks, sources = -(-terms // TERM_BLOCK), encoded.rdd.getNumPartitions()
+    if sources > SUM_AT_ONCE:  # many partitions are added up in groups first
+        groups = -(-sources // SUM_AT_ONCE)
+        salted = summed.select((F.col("block") * groups + F.pmod(F.spark_partition_id(), F.lit(groups))).alias("block"), "data")
+        summed = salted.repartition(blocks * groups, "block").mapInArrow(_sum_blocks, kind).select(F.floor(F.col("block") / groups).cast("int").alias("block"), "data")
+    summed = summed.repartition(blocks, "block").mapInArrow(_sum_blocks, kind)
     both = np.zeros((terms, width + 1))
     for r in summed.collect():
         data = np.frombuffer(r["data"], np.float64).reshape(-1, width + 1)
@@ -369,7 +374,7 @@ def leaks(
     width: int = 80,
     cosine: float | None = 0.6,
     lcs: float = 0.5,
-    block: int = 2_000,
+    block: int = 1_000,
 ) -> DataFrame:
     """``(doc, item, verbatim, cosine, lcs_share, has_answer)``, one row per document and item that are linked.
 

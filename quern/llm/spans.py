@@ -38,8 +38,10 @@ def _runs(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterable[pa.RecordBatch], length: int, short: int, ranged: bool) -> Iterator[pa.RecordBatch]:
-    """``(h, doc, first, last)``: the short windows that represent the full windows starting at first..last."""
+    """``(h, doc, first, last)``: the short windows that represent the full windows starting at first..last; at full
+    length also a second hash ``g``."""
     hasher, width = Hasher(), length - short + 1
+    second = Hasher(other=True) if short == length else None
     for batch in batches:
         ids = batch.column(0)
         for a, starts, codes, base in slices(batch.column(1), length - 1):
@@ -66,34 +68,32 @@ def _anchors(batches: Iterable[pa.RecordBatch], length: int, short: int, ranged:
             first, last = at[i], at[j]
             row = rows[first]
             begin = starts[row] - base
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(hashes[chosen[i]].view(np.int64)),
-                    ids.take(pa.array(row + a)),
-                    pa.array((first - begin).astype(np.int32)),
-                    pa.array((last - begin).astype(np.int32)),
-                ],
-                names=["h", "doc", "first", "last"],
-            )
-
-
-def _repeated(found: Staged) -> DataFrame:
-    """The rows whose hash stands in more than one document. Keys with very many rows are few, by count, and
+            columns = {
+                "h": pa.array(hashes[chosen[i]].view(np.int64)),
+                "doc": ids.take(pa.array(row + a)),
+                "first": pa.array((first - begin).astype(np.int32)),
+                "last": pa.array((last - begin).astype(np.int32)),
+            }
+            if second:
+                columns["g"] = pa.array(second.windows(second.prefix(codes), short)[chosen[i]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _repeated(found: Staged, hashes: list[str]) -> DataFrame:
+    """The rows whose hashes stand in more than one document. Keys with very many rows are few, by count, and
     joined by broadcast, so that no task gets all rows of such a key."""
-    groups = found.frame.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n"))
-    keys = stage(groups.where("a <> b").select(F.col("h").alias("k"), "n"), "repeated")
-    hot = keys.frame.where(F.col("n") > HOT_ROWS).select("k")
-    n_hot = hot.count()
+    groups = found.frame.groupBy(*hashes).agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n"))
+    keys = stage(groups.where("a <> b").select(*hashes, "n"), "repeated")
     n_all = keys.count()
-    if n_all * 24 <= BROADCAST_BYTES:
-        return found.frame.join(F.broadcast(keys.frame), F.col("h") == F.col("k"), "left_semi")
-    cold = keys.frame.where(F.col("n") <= HOT_ROWS).select("k")
+    if n_all * (16 + 8 * len(hashes)) <= BROADCAST_BYTES:
+        return found.frame.join(F.broadcast(keys.frame), hashes, "left_semi")
+    hot, cold = keys.frame.where(F.col("n") > HOT_ROWS), keys.frame.where(F.col("n") <= HOT_ROWS)
+    n_hot = hot.count()
     if not n_hot:
-        return found.frame.join(cold, F.col("h") == F.col("k"), "left_semi")
-    near = broadcast_if_small(hot, n_hot, 16)
-    warm = found.frame.join(near, F.col("h") == F.col("k"), "left_semi")
-    rest = found.frame.join(near, F.col("h") == F.col("k"), "left_anti")
-    return warm.unionByName(rest.join(cold, F.col("h") == F.col("k"), "left_semi"))
+        return found.frame.join(cold, hashes, "left_semi")
+    near = broadcast_if_small(hot, n_hot, 32)
+    rest = found.frame.join(near, hashes, "left_anti")
+    return found.frame.join(near, hashes, "left_semi").unionByName(rest.join(cold, hashes, "left_semi"))
 
 
 def shared_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", length: int = 300) -> DataFrame:
@@ -102,7 +102,7 @@ def shared_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", length:
 
     A document is a value of ``doc``; rows with a null id are left out; a null or short text has no window;
     a row repeated under the same id is no other document. An empty table gives no rows. Extra columns are
-    ignored. Windows are compared by 64-bit hashes of their code points.
+    ignored. Windows of full length are compared by two independent 64-bit hashes of their code points.
     """
     docs = df.where(F.col(f"`{doc}`").isNotNull() & (F.length(f"`{text}`") >= length)).select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema["doc"].dataType
@@ -119,10 +119,11 @@ def shared_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", length:
     source, ranged, kept = single, False, None
     for short in _lengths(length):
         last = short == length
-        found = stage(source.mapInArrow(lambda batches, s=short, r=ranged: _anchors(batches, length, s, r), schema), f"windows-{short}")
+        kinds = T.StructType([*schema.fields, T.StructField("g", T.LongType())]) if last else schema
+        found = stage(source.mapInArrow(lambda batches, s=short, r=ranged: _anchors(batches, length, s, r), kinds), f"windows-{short}")
         if kept:
             kept.drop()
-        rows = _repeated(found)
+        rows = _repeated(found, ["h", "g"] if last else ["h"])
         if last:
             break
         per_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("r"))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 _POSITION_BITS = 28
 _MASK = np.uint64((1 << _POSITION_BITS) - 1)
 #: fixed values: odd multipliers of the hash
-_BASE, _MIX_1, _MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+_BASE, _OTHER_BASE, _MIX_1, _MIX_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 SLICE_CHARS = 1 << 20
 
 
@@ -25,19 +25,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Window hashes modulo 2**64 over randomly mapped code points; equal windows have equal hashes wherever they stand."""
+    """Window hashes modulo 2**64 over randomly mapped code points; equal windows have equal hashes wherever they stand.
+    ``other`` gives a second, independent hash."""
 
-    def __init__(self) -> None:
+    def __init__(self, other: bool = False) -> None:
+        self._base = _OTHER_BASE if other else _BASE
         self._low = self._map(np.arange(0x3000))
         self._grow(1 << 16)
 
-    @staticmethod
-    def _map(codes: np.ndarray) -> np.ndarray:
-        return _mix(codes.astype(np.uint64) * np.uint64(_BASE) + np.uint64(0x1234567))
+    def _map(self, codes: np.ndarray) -> np.ndarray:
+        return _mix(codes.astype(np.uint64) * np.uint64(self._base) + np.uint64(0x1234567))
 
     def _grow(self, n: int) -> None:
-        inverse = pow(_BASE, -1, 1 << 64)
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
+        inverse = pow(self._base, -1, 1 << 64)
+        up, down = np.full(n, self._base, np.uint64), np.full(n, inverse, np.uint64)
         up[0] = down[0] = 1
         self._up, self._down = np.cumprod(up), np.cumprod(down)
 

@@ -43,6 +43,14 @@ def test_verbatim_is_complete_at_any_rank(spark, rank, width, block):
     assert {(r.doc_id, r.item_id) for r in got.collect() if r.verbatim} == want and len(want) > 20
 
 
+def test_sums_in_two_steps_give_the_same(spark, monkeypatch):
+    docs, items = make(3)
+    d, e = frames(spark, docs, items)
+    want = {(r.doc_id, r.item_id) for r in leakage.leaks(d, e, cosine=None).collect()}
+    monkeypatch.setattr(leakage, "SUM_AT_ONCE", 2)
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d.repartition(7), e, cosine=None).collect()} == want
+
+
 def test_pieces_of_long_documents(spark, monkeypatch):
     docs, items = make(9)
     long = [w for d in docs for w in d]
