@@ -398,7 +398,7 @@ def x08(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query("X09_table_function", "SELECT n_nationkey, unnest(range(0, CAST(n_nationkey % 3 + 1 AS BIGINT))) AS i FROM nation")
 def x09(spark: SparkSession, d: str) -> DataFrame:
-    """Beyond the course: a Python table function, joined laterally."""
+    """Beyond the reference: a Python table function, joined laterally."""
     spark.udtf.register("quern_upto", udfs.upto())
     table(spark, d, "nation").createOrReplaceTempView("udtf_nation")
     return spark.sql("SELECT n_nationkey, i FROM udtf_nation, LATERAL quern_upto(n_nationkey % 3 + 1)")

@@ -35,6 +35,14 @@ def test_chunked_stats_equals_brute_force_at_any_chunk_size(spark, chunk):
     assert all(r.n_chunks == -(-r.n_rows // chunk) for r in got)
 
 
+@pytest.mark.parametrize("chunk", [3, 50])
+def test_too_many_offsets_for_a_broadcast_give_the_same(spark, chunk):
+    rows = rows_of()
+    got = chunked_stats(spark.createDataFrame(rows, SCHEMA).repartition(5), ["a", "b"], "v", "city", chunk_rows=chunk, max_broadcast=0).collect()
+    assert {(r.a, r.b): (r.n_rows, None if r.sum_v is None else int(r.sum_v), r.n_city) for r in got} == brute(rows)
+    assert all(r.contiguous and r.n_chunks <= -(-r.n_rows // chunk) for r in got)
+
+
 def test_sum_does_not_overflow(spark):
     big = 2**62
     got = chunked_stats(spark.createDataFrame([("k", None, big, "c", 0, 0, 0)] * 10, SCHEMA), ["a"], "v", "city").first()
