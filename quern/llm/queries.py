@@ -49,6 +49,18 @@ def p2_months(spark: SparkSession, d: str) -> DataFrame:
     return _percentiles(spark, d, monthly=True)
 
 
+@registry.query("p2_bounds", "SELECT CAST(0 AS BIGINT) AS outside, true AS near")
+def p2_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries rounded to 8 bits: no exact percentile lies outside its interval, no interval is wider than stated."""
+    rows = table(spark, d, "scu_continents_1")
+    exact, rounded = (quantiles.percentiles(quantiles.summarize(rows, ["country"], "ndata", bits=b), ["country"], PER_MILLE) for b in (None, 8))
+    same = F.col("e.country").eqNullSafe(F.col("r.country")) & (F.col("e.per_mille") == F.col("r.per_mille"))
+    both = exact.alias("e").join(rounded.alias("r"), same)
+    outside = ~F.col("e.lower").between(F.col("r.lower"), F.col("r.upper"))
+    width = F.col("r.upper") - F.col("r.lower") <= 2 * F.abs(F.col("r.lower")) / 128 + 1
+    return both.agg(F.count_if(outside).alias("outside"), F.bool_and(width).alias("near"))
+
+
 @registry.query(
     "p6_found",
     """SELECT 'employees' AS table_name, row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY department_id ORDER BY salary DESC, row_id) AS r
