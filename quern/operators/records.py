@@ -12,7 +12,9 @@ import io
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
@@ -37,7 +39,6 @@ LAYOUTS = (
 QUOTING, COLUMNS, VALUE, UNKNOWN = "quoting", "column_count", "value", "unknown_file"
 
 _FIELD = r'(?:"(?:[^"]|"")*"|(?:[^",][^",]*)?)'
-_RECORD = rf"\A{_FIELD}(?:,{_FIELD})*\z"
 _WHOLE, _FRACTION = r"[+-]?[0-9]+", r"[+-]?[0-9]+(?:\.[0-9]+)?"
 _RANGE = {"int": 31, "bigint": 63}
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
@@ -97,11 +98,31 @@ class _Declined(Exception):
     pass
 
 
+def _number_form(kind: str) -> str:
+    """Sound numbers but those with a leading +, which are left to the strict reader."""
+    return "-?" + (_FRACTION if kind == "double" else _WHOLE).removeprefix("[+-]?")
+
+
+@lru_cache(maxsize=16)
+def _record_form(layout: Layout) -> str:
+    """What the fast path takes for a sound record: quoting, number of fields, form of the numbers."""
+    forms = []
+    for _, kind in layout.fields:
+        number = rf" *(?:{_number_form(kind)})? *"
+        forms.append(_FIELD if kind == "string" else rf'(?:"{number}"|{number})')
+    return rf"\A{','.join(forms)}\z"
+
+
+def _looks_sound(records: pa.Array, layout: Layout) -> np.ndarray:
+    """Which records the columnar parser may read. It would fill up an empty line with empty fields and end a record
+    at a carriage return, so it gets neither."""
+    odd = pc.or_(pc.equal(records, ""), pc.match_substring(records, "\r"))
+    looks = pc.and_not(pc.match_substring_regex(records, _record_form(layout)), odd)
+    return pc.fill_null(looks, False).to_numpy(zero_copy_only=False)
+
+
 def _read_block(records: pa.Array, layout: Layout) -> list[pa.Array]:
-    """The typed columns of a block, or an exception if any record of it is not beyond doubt sound."""
-    # the columnar parser would fill up an empty line with empty fields and end a record at a carriage return
-    if records.null_count or pc.any(pc.or_(pc.equal(records, ""), pc.match_substring(records, "\r"))).as_py() or not pc.all(pc.match_substring_regex(records, _RECORD)).as_py():
-        raise _Declined
+    """The typed columns of records that look sound; an exception if the parser objects to any of them."""
     block = "\n".join(records.to_pylist()).encode()
     names = [f for f, _ in layout.fields]
     table = pcsv.read_csv(
@@ -118,31 +139,72 @@ def _read_block(records: pa.Array, layout: Layout) -> list[pa.Array]:
         if kind != "string":
             column = pc.utf8_trim(column, " ")
             column = pc.if_else(pc.equal(column, ""), pa.scalar(None, pa.string()), column)
-            form = rf"\A-?{(_FRACTION if kind == 'double' else _WHOLE)[5:]}\z"  # a leading + is left to the strict reader
-            if pc.any(pc.invert(pc.match_substring_regex(column, form))).as_py():
-                raise _Declined
-            column = pc.cast(column, _ARROW[kind])
+            column = pc.cast(column, _ARROW[kind])  # a number out of range is an exception
         columns.append(column)
     return columns
 
 
-def read_block(records: pa.Array, layout: Layout, smallest: int = 4) -> Iterator[tuple[int, int, str | None, list | None]]:
-    """``(from, to, reason, columns)`` pieces of the block in order: sound stretches with typed columns, bad records alone."""
-    todo = [(0, len(records))]
-    while todo:
-        a, b = todo.pop()
-        if b - a <= smallest:
-            for i in range(a, b):
-                reason, typed = read_strictly(records[i].as_py(), layout)
-                yield i, i + 1, reason, None if reason else [pa.array([v], _ARROW[k]) for v, (_, k) in zip(typed, layout.fields)]
-            continue
+Piece = tuple[int, int, str | None, list | None]
+
+
+def _strictly(records: pa.Array, a: int, b: int, layout: Layout) -> Iterator[Piece]:
+    for i in range(a, b):
+        reason, typed = read_strictly(records[i].as_py(), layout)
+        yield i, i + 1, reason, None if reason else [pa.array([v], _ARROW[k]) for v, (_, k) in zip(typed, layout.fields)]
+
+
+def _bisect(records: pa.Array, a: int, b: int, layout: Layout, smallest: int) -> Iterator[Piece]:
+    """Halve ``[a, b)`` until the parser takes a part or it is small enough to be read strictly."""
+    if b - a <= smallest:
+        yield from _strictly(records, a, b, layout)
+        return
+    try:
+        columns = _read_block(records.slice(a, b - a), layout)
+    except (_Declined, pa.ArrowException):
+        middle = (a + b) // 2
+        yield from _bisect(records, a, middle, layout, smallest)
+        yield from _bisect(records, middle, b, layout, smallest)
+    else:
+        yield a, b, None, columns
+
+
+def _stretches(looks: np.ndarray, a: int, b: int, smallest: int) -> Iterator[tuple[int, int, bool]]:
+    """Halve ``[a, b)`` until each part looks sound (True) or is small."""
+    if looks[a:b].all():
+        yield a, b, True
+    elif b - a <= smallest:
+        yield a, b, False
+    else:
+        middle = (a + b) // 2
+        yield from _stretches(looks, a, middle, smallest)
+        yield from _stretches(looks, middle, b, smallest)
+
+
+def read_block(records: pa.Array, layout: Layout, smallest: int = 4) -> Iterator[Piece]:
+    """``(from, to, reason, columns)`` pieces of the block in order: sound stretches with typed columns, bad records alone.
+
+    The whole block is parsed at once if it looks sound. Else it is bisected by what a record must look like, and all
+    stretches that look sound are parsed together; if the parser still objects (a number out of range), they are
+    bisected by parsing them. Small failing parts are read strictly, record by record.
+    """
+    looks = _looks_sound(records, layout)
+    parts = list(_stretches(looks, 0, len(records), smallest))
+    sound = [(a, b) for a, b, good in parts if good]
+    columns = None
+    if sound:
         try:
-            columns = _read_block(records.slice(a, b - a), layout)
+            columns = _read_block(pa.concat_arrays([records.slice(a, b - a) for a, b in sound]), layout)
         except (_Declined, pa.ArrowException):
-            middle = (a + b) // 2
-            todo += [(middle, b), (a, middle)]
-            continue
-        yield a, b, None, columns
+            pass
+    done = 0
+    for a, b, good in parts:
+        if not good:
+            yield from _strictly(records, a, b, layout)
+        elif columns is None:
+            yield from _bisect(records, a, b, layout, smallest)
+        else:
+            yield a, b, None, [c.slice(done, b - a) for c in columns]
+            done += b - a
 
 
 def parse_records(df: DataFrame, line: str = "line", file_name: str = "file_name", layouts: Sequence[Layout] = LAYOUTS, keep: Sequence[str] = ("line_id", "file_name", "line_no"), block: int = 512) -> DataFrame:
