@@ -66,7 +66,7 @@ def stage(df: DataFrame, label: str) -> Staged:
 
 
 #: Largest table, by rows times stated width, that this library ever broadcasts.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
