@@ -38,10 +38,10 @@ def _runs(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterable[pa.RecordBatch], length: int, short: int, ranged: bool) -> Iterator[pa.RecordBatch]:
-    """``(h, doc, first, last)``: the short windows that represent the full windows starting at first..last; at full
-    length also a second hash ``g``."""
-    hasher, width = Hasher(), length - short + 1
-    second = Hasher(other=True) if short == length else None
+    """``(h, doc, first, last)``: the short windows that represent the full windows starting at first..last. At full
+    length ``(h, g, doc, first, hot)``: each window with a second hash, and whether it lies in a range marked hot."""
+    final = short == length
+    hasher, second, width = Hasher(), Hasher(other=True) if final else None, length - short + 1
     for batch in batches:
         ids = batch.column(0)
         for a, starts, codes, base in slices(batch.column(1), length - 1):
@@ -50,50 +50,74 @@ def _anchors(batches: Iterable[pa.RecordBatch], length: int, short: int, ranged:
             n = len(starts) - 1
             rows = np.repeat(np.arange(n), np.diff(starts))[: len(codes) - length + 1]
             open_ = np.arange(len(rows)) + length <= starts[rows + 1]
+            hot = np.zeros(len(rows), bool)
             if ranged:
-                edges = np.zeros(len(codes) + 1, np.int32)
-                for sign, column, shift in ((1, 2, 0), (-1, 3, 1)):
-                    lists = batch.column(column).slice(a, n)
-                    places = np.clip(lists.flatten().to_numpy() + shift - base, 0, len(codes))
-                    np.add.at(edges, places + np.repeat(starts[:-1], lists.value_lengths().to_numpy()), sign)
-                open_ &= np.cumsum(edges)[: len(rows)] > 0
+                first, last, marks = (batch.column(c).slice(a, n) for c in (2, 3, 4))
+                shift = np.repeat(starts[:-1], first.value_lengths().to_numpy())
+                at = [np.clip(x.flatten().to_numpy() + k - base, 0, len(codes)) + shift for x, k in ((first, 0), (last, 1))]
+                open_ &= _covered(*at, len(codes))[: len(rows)]
+                marked = marks.flatten().to_numpy(zero_copy_only=False)
+                if marked.any():
+                    hot = _covered(at[0][marked], at[1][marked], len(codes))[: len(rows)]
             at = np.flatnonzero(open_)
             if not len(at):
                 continue
             hashes = hasher.windows(hasher.prefix(codes), short)
-            chosen = lowest(hashes, width)[at]
-            # one run: neighbouring windows of the same representative; the last windows of a text are not open,
-            # so no run crosses texts
-            i, j = _runs(chosen, at)
-            first, last = at[i], at[j]
-            row = rows[first]
-            begin = starts[row] - base
-            columns = {
-                "h": pa.array(hashes[chosen[i]].view(np.int64)),
-                "doc": ids.take(pa.array(row + a)),
-                "first": pa.array((first - begin).astype(np.int32)),
-                "last": pa.array((last - begin).astype(np.int32)),
-            }
-            if second:
-                columns["g"] = pa.array(second.windows(second.prefix(codes), short)[chosen[i]].view(np.int64))
+            if final:
+                row = rows[at]
+                columns = {
+                    "h": pa.array(hashes[at].view(np.int64)),
+                    "g": pa.array(second.windows(second.prefix(codes), short)[at].view(np.int64)),
+                    "doc": ids.take(pa.array(row + a)),
+                    "first": pa.array((at - starts[row] + base).astype(np.int32)),
+                    "hot": pa.array(hot[at]),
+                }
+            else:
+                # one run: neighbouring windows of the same representative; the last windows of a text are not
+                # open, so no run crosses texts
+                chosen = lowest(hashes, width)[at]
+                i, j = _runs(chosen, at)
+                row = rows[at[i]]
+                begin = starts[row] - base
+                columns = {
+                    "h": pa.array(hashes[chosen[i]].view(np.int64)),
+                    "doc": ids.take(pa.array(row + a)),
+                    "first": pa.array((at[i] - begin).astype(np.int32)),
+                    "last": pa.array((at[j] - begin).astype(np.int32)),
+                }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _repeated(found: Staged, hashes: list[str]) -> DataFrame:
-    """The rows whose hashes stand in more than one document. Keys with very many rows are few, by count, and
-    joined by broadcast, so that no task gets all rows of such a key."""
-    groups = found.frame.groupBy(*hashes).agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n"))
-    keys = stage(groups.where("a <> b").select(*hashes, "n"), "repeated")
+def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of 0..n lie in one of the ranges ``[begin, end)``."""
+    edges = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    return np.cumsum(edges) > 0
+
+
+def _repeated(found: DataFrame, hashes: list[str]) -> DataFrame:
+    """The rows whose hashes stand in more than one document; ``hot`` where more than HOT_ROWS rows share them. Such keys
+    are few, by count, and joined by broadcast, so that no task gets all rows of one."""
+    groups = found.groupBy(*hashes).agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n"))
+    keys = stage(groups.where("a <> b").select(*hashes, (F.col("n") > HOT_ROWS).alias("hot")), "repeated")
     n_all = keys.count()
     if n_all * (16 + 8 * len(hashes)) <= BROADCAST_BYTES:
-        return found.frame.join(F.broadcast(keys.frame), hashes, "left_semi")
-    hot, cold = keys.frame.where(F.col("n") > HOT_ROWS), keys.frame.where(F.col("n") <= HOT_ROWS)
+        return found.join(F.broadcast(keys.frame), hashes)
+    hot, cold = keys.frame.where("hot"), keys.frame.where("NOT hot")
     n_hot = hot.count()
     if not n_hot:
-        return found.frame.join(cold, hashes, "left_semi")
+        return found.join(cold, hashes)
     near = broadcast_if_small(hot, n_hot, 32)
-    rest = found.frame.join(near, hashes, "left_anti")
-    return found.frame.join(near, hashes, "left_semi").unionByName(rest.join(cold, hashes, "left_semi"))
+    return found.join(near, hashes).unionByName(found.join(near, hashes, "left_anti").join(cold, hashes))
+
+
+def _marked(found: DataFrame, some_hot: bool) -> DataFrame:
+    """``(doc, first)``: full windows that stand in more than one document. A window's group is no larger than that of its
+    representative at half length; groups not marked hot there have at most HOT_ROWS rows and meet in one shuffle."""
+    keys = ["h", "g"]
+    of = Window.partitionBy(*keys)
+    slim = found.select(*keys, "doc", "first", "hot")
+    cold = slim.where("NOT hot").drop("hot").withColumns({"a": F.min("doc").over(of), "b": F.max("doc").over(of)}).where("a <> b").select("doc", "first")
+    return cold.unionByName(_repeated(slim.where("hot").drop("hot"), keys).select("doc", "first")) if some_hot else cold
 
 
 def shared_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", length: int = 300) -> DataFrame:
@@ -106,7 +130,8 @@ def shared_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", length:
     """
     docs = df.where(F.col(f"`{doc}`").isNotNull() & (F.length(f"`{text}`") >= length)).select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema["doc"].dataType
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", kind), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+    h, g, where, hot = T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("doc", kind), T.StructField("hot", T.BooleanType())
+    first, last = T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())
 
     marks = docs.select("doc", F.unhex(F.md5("text")).alias("m"), F.length("text").alias("chars"))
     classes = marks.groupBy("m", "chars").agg(F.min("doc").alias("one"), F.max("doc").alias("other")).where("one <> other")
@@ -116,27 +141,30 @@ def shared_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", length:
     again = copies.frame.where("doc <> one").select(F.col("doc").alias("drop"))
     single = docs.join(broadcast_if_small(again, copies.count(), 16), F.col("doc") == F.col("drop"), "left_anti")
 
-    source, ranged, kept = single, False, None
+    source, kept, some_hot = single, None, True
     for short in _lengths(length):
-        last = short == length
-        kinds = T.StructType([*schema.fields, T.StructField("g", T.LongType())]) if last else schema
-        found = stage(source.mapInArrow(lambda batches, s=short, r=ranged: _anchors(batches, length, s, r), kinds), f"windows-{short}")
+        final = short == length
+        schema = T.StructType([h, g, where, first, hot] if final else [h, where, first, last])
+        found = source.mapInArrow(lambda batches, s=short, r=kept is not None: _anchors(batches, length, s, r), schema)
+        if final:
+            break
+        found = stage(found, f"windows-{short}")
         if kept:
             kept.drop()
-        rows = _repeated(found, ["h", "g"] if last else ["h"])
-        if last:
-            break
-        per_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("r"))
-        kept = stage(per_doc.select(F.col("doc").alias("of"), "r.first", "r.last"), f"open-{short}")
-        held, spots = kept.frame.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("first")), F.lit(0))).first()
+        per_doc = _repeated(found.frame, ["h"]).groupBy("doc").agg(F.collect_list(F.struct("first", "last", "hot")).alias("r"))
+        kept = stage(per_doc.select(F.col("doc").alias("of"), "r.first", "r.last", "r.hot"), f"open-{short}")
+        held, spots, some_hot = kept.frame.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("first")), F.lit(0)), F.coalesce(F.bool_or(F.exists("hot", lambda x: x)), F.lit(False))).first()
         found.drop()
-        source = single.join(broadcast_if_small(kept.frame, held * 32 + spots * 8, 1), F.col("doc") == F.col("of")).select("doc", "text", "first", "last")
-        ranged = True
-    span = rows.select("doc", F.col("first").alias("s"), F.col("last").alias("e")).distinct()
+        source = single.join(broadcast_if_small(kept.frame, held * 32 + spots * 10, 1), F.col("doc") == F.col("of")).select("doc", "text", "first", "last", "hot")
+    # read once where nothing is hot, so that it need not be written; without a shorter level nothing is known of hot windows
+    if some_hot:
+        found = stage(found, "windows").frame
+    rows = _marked(found, some_hot) if kept else _repeated(found.drop("hot"), ["h", "g"])
+    span = rows.select("doc", F.col("first").alias("s")).distinct()
     back = Window.partitionBy("doc").orderBy("s")
-    jump = F.coalesce((F.col("s") > F.lag("e").over(back) + length).cast("int"), F.lit(1))
+    jump = F.coalesce((F.col("s") > F.lag("s").over(back) + length).cast("int"), F.lit(1))
     islands = span.withColumn("jump", jump).withColumn("i", F.sum("jump").over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("doc", "i").agg(F.min("s").cast("bigint").alias("span_start"), (F.max("e") + length).cast("bigint").alias("span_end"))
+    merged = islands.groupBy("doc", "i").agg(F.min("s").cast("bigint").alias("span_start"), (F.max("s") + length).cast("bigint").alias("span_end"))
     whole = copies.frame.select("doc", F.lit(0).cast("bigint").alias("span_start"), F.col("span_end").cast("bigint").alias("span_end"))
     mine = broadcast_if_small(copies.frame.select(F.col("doc").alias("drop")), copies.count(), 16)
     merged = merged.join(mine, F.col("doc") == F.col("drop"), "left_anti").select("doc", "span_start", "span_end")
