@@ -372,7 +372,7 @@ def leaks(
     run: int = 13,
     rank: int = 512,
     width: int = 80,
-    cosine: float | None = 0.6,
+    cosine: float | None = 0.25,
     lcs: float = 0.5,
     block: int = 1_000,
 ) -> DataFrame:
