@@ -117,7 +117,7 @@ def profile(values: DataFrame, rows_per_range: int = 500_000) -> DataFrame:
 
     ``n_rows``, ``n_null``, ``n_invalid``, ``n_distinct``, ``top_count`` (the most frequent value's),
     ``min_value``/``max_value`` (as text), ``median2``/``rest_median2`` (twice the exact median of the load and
-    of the column's other loads together, so that halves stay exact; null for text), ``ks`` (exact distance
+    of the column's other loads together, as doubles, so that halves stay exact; null for text), ``ks`` (exact distance
     of the two cumulative curves). Nulls and NaN are counted but have no place in curves; a null load is a
     load of its own; without other loads ``rest_median2`` and ``ks`` are null; an empty table gives no rows.
     """
@@ -140,12 +140,14 @@ def profile(values: DataFrame, rows_per_range: int = 500_000) -> DataFrame:
 
     group = ["pid", *_WHERE]
     answers = ranged.frame.groupBy(*group).cogroup(offsets.groupBy(*group)).applyInPandas(lambda a, b: _curves(a, b), _CURVE)
-    pick = lambda what: F.max(F.when(F.col("what") == what, F.coalesce(F.col("whole").cast("decimal(38,6)"), F.col("frac").cast("decimal(38,6)"))))
-    curves = answers.groupBy(*_WHERE, "load_no").agg(
-        F.max("x").alias("ks"),
-        (pick("own_lo") + pick("own_hi")).alias("median2"),
-        (pick("rest_lo") + pick("rest_hi")).alias("rest_median2"),
-    )
+    pick = lambda what, kind: F.max(F.when(F.col("what") == what, F.col(kind)))
+
+    def twice(lo: str, hi: str) -> Column:
+        """The sum of the two middle values: exact for whole numbers, then a double."""
+        whole = (pick(lo, "whole").cast("decimal(20,0)") + pick(hi, "whole").cast("decimal(20,0)")).cast("double")
+        return F.coalesce(whole, pick(lo, "frac") + pick(hi, "frac"))
+
+    curves = answers.groupBy(*_WHERE, "load_no").agg(F.max("x").alias("ks"), twice("own_lo", "own_hi").alias("median2"), twice("rest_lo", "rest_hi").alias("rest_median2"))
     is_null = F.col("whole").isNull() & F.col("frac").isNull() & F.col("txt").isNull()
     sound = F.when(~is_null, F.col("n"))
     stats = counted.frame.groupBy(*_WHERE, "load_no").agg(
@@ -169,7 +171,7 @@ def findings(profiled: DataFrame, null_share: float = 0.1, bad_share: float = 0.
         "nulls": F.col("n_null") >= dec(null_share) * F.col("n_rows"),
         "invalid": (filled > 0) & (F.col("n_invalid") >= dec(bad_share) * filled),
         "dominant": (filled > 0) & (F.col("top_count") >= dec(top_share) * filled),
-        "shift": F.abs(F.col("median2").cast("double") - F.col("rest_median2").cast("double")) > F.lit(shift) * F.abs(F.col("rest_median2").cast("double")),
+        "shift": F.abs(F.col("median2") - F.col("rest_median2")) > F.lit(shift) * F.abs(F.col("rest_median2")),
     }
     found = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]), lambda x: x.isNotNull())
     return profiled.select(*_WHERE, "load_no", F.explode(found).alias("finding"))

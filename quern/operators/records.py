@@ -87,6 +87,9 @@ def read_strictly(record: str | None, layout: Layout) -> tuple[str | None, list]
         elif not re.fullmatch(_FRACTION if kind == "double" else _WHOLE, text):
             return VALUE, []
         else:
+            if kind in _RANGE:  # Python reads no number of thousands of digits
+                digits = text.lstrip("+-").lstrip("0")[:20] or "0"
+                text = "-" * text.startswith("-") + digits
             value = _PYTHON[kind](text)
             if kind in _RANGE and not -(1 << _RANGE[kind]) <= value < 1 << _RANGE[kind]:
                 return VALUE, []

@@ -11,10 +11,6 @@ from quern.plans.registry import Registry, table
 registry = Registry()
 
 
-def _t(name: str):
-    return lambda spark, d: table(spark, d, name)
-
-
 def on(name: str, query: str, sql: str, make) -> None:
     """Register ``query`` over one table: ``make`` gets its DataFrame."""
     registry.add(query, lambda spark, d: make(table(spark, d, name)), sql)
@@ -88,7 +84,6 @@ in_sql("F18_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SEL
 on("continents_countries_temp", "F20_drop_malformed", "SELECT row_id FROM continents_countries_temp WHERE length(trim(country)) > 0 AND length(trim(city)) > 0 AND temperature BETWEEN -90 AND 60", lambda t: t.where((F.length(F.trim("country")) > 0) & (F.length(F.trim("city")) > 0) & F.col("temperature").between(-90, 60)).select("row_id"))
 
 # ---- joins ------------------------------------------------------------------------------------------------
-_NR = "n.n_name AS n_name, r.r_name AS r_name"
 over("nation region", "J01_inner_using", "SELECT n_nationkey AS k, n_name, r_name FROM nation JOIN region ON n_nationkey = r_regionkey", lambda n, r: n.select(F.col("n_nationkey").alias("k"), "n_name").join(r.select(F.col("r_regionkey").alias("k"), "r_name"), "k"))
 for _name, _how in (("J02_left", "left"), ("J03_right", "right"), ("J04_full", "full")):
     over(

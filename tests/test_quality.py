@@ -61,6 +61,12 @@ def test_findings(spark):
     assert {(r.column_name, r.load_no, r.finding) for r in found} == {("age", 1, "nulls"), ("age", 1, "dominant"), ("age", 2, "dominant"), ("age", 1, "shift"), ("age", 2, "shift"), ("city", 1, "dominant"), ("city", 2, "dominant"), ("city", 2, "invalid")}
 
 
+def test_huge_and_infinite_values(spark):
+    rows = [(1, 2**31 - 1, 1e300, "A", 1, "x"), (1, 5, 1e300, "A", 1, "x"), (2, 5, float("inf"), "A", 1, "x"), (2, 5, -1e300, "A", 1, "x"), (2, 5, 1e-9, "A", 1, "x")]
+    got = {(r.column_name, r.load_no): r for r in profile(counted_values(spark.createDataFrame(rows, SCHEMA), "t", "load_no", CHECKS)).collect()}
+    assert got["temp", 1].median2 == 2e300 and got["temp", 2].median2 == 2e-9 and got["age", 1].median2 == 2.0**31 + 4
+
+
 def test_empty_single_load_and_all_null(spark):
     assert profile(counted_values(spark.createDataFrame([], SCHEMA), "t", "load_no", CHECKS)).count() == 0
     only = profile(counted_values(spark.createDataFrame([(1, None, None, None, 1, "x"), (1, 5, None, None, 1, "x")], SCHEMA), "t", "load_no", CHECKS)).collect()

@@ -13,6 +13,7 @@ CASES = [
     ('1,"Ann, Dr.",30,5,1000', None), ('1,"Ann ""A"" B",30,5,1000', None), ('1,"Ann,30,5,1000', "quoting"), ('1,An"n,30,5,1000', "quoting"), ('1,"An"n,30,5,1000', "quoting"), ('1,"Ann" ,30,5,1000', "quoting"),
     (' 1 ,Ann, +30 ,-5,', None), ("1,Ann,3O,5,1000", "value"), ("1,Ann,30.0,5,1000", "value"), ("0x1F,Ann,30,5,1000", "value"), ("1,Ann,2147483648,5,1", "value"), ("1,Ann,-2147483648,5,1", None),
     ("9223372036854775807,Ann,1,1,1", None), ("9223372036854775808,Ann,1,1,1", "value"), ("1,Ann,30,5,1000\r", "value"), ("1,Ann,\t30,5,1000", "value"), ("1,Ann,٣,5,1000", "value"), ('1,"Ann\nB",30,5,"7"', None), ("1,Ann\nB,30,5,7", None), ("1,,,,", None), (",,,,", None), ("1\\,Ann,30,5,7", "value"),
+    ("9" * 6000 + ",Ann,30,5,7", "value"), ("0" * 6000 + "7,Ann,30,5,7", None),
 ]
 
 
