@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.staging import scratch_path
+
 #: fixed values: formats that need no extra jar, and those that need one
 BUILT_IN, NEEDS_JAR = ("parquet", "orc", "csv", "json", "text", "xml"), ("avro", "delta")
 MODES = ("overwrite", "append", "ignore", "error", "errorifexists")
@@ -100,8 +102,11 @@ def write_any(df: DataFrame, kind: str, path: str, mode: str = "error", partitio
 
 
 def write_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
-    """A bucketed, sorted table: later joins and groupings on ``key`` need no shuffle of it."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+    """A bucketed, sorted table: later joins and groupings on ``key`` need no shuffle of it. Its files lie in the shared
+    folder under a new path, so that files of an earlier session's table of the same name are no obstacle."""
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.write.option("path", scratch_path(spark, name)).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
     return df.sparkSession.table(name)
 
 
