@@ -409,12 +409,35 @@ _ASCII = r"regexp_full_match(text, '[\x01-\x7f]*')"
 
 
 def _ascii(spark: SparkSession, d: str) -> DataFrame:
+    """Only for the queries whose SQL is limited so; the ``_all`` queries run over every document."""
     return table(spark, d, "documents").where(F.col("text").rlike(r"\A[\x01-\x7f]*\z"))
 
 
+# no letter but e, r and o themselves has one of them in its lower case, so the search is the same in both for any text
+_CLASSIFIED = "SELECT doc_id, CASE WHEN contains(lower(text), 'error') THEN 'problem' WHEN text IS NOT NULL THEN 'normal' END AS reply FROM documents"
+
+
+def classified(docs: DataFrame, task: str = "classify") -> DataFrame:
+    return docs.select("doc_id", model_text.per_row(model_text.Offline, task)("text").alias("reply"))
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", model_text.parsed_rows(model_text.Offline)("text").alias("x")).select("doc_id", F.col("x.length").alias("n"))
+
+
+def failed_summaries(docs: DataFrame, fail_every: int) -> DataFrame:
+    replies = docs.select("doc_id", model_text.per_row(lambda: model_text.Offline(fail_every=fail_every), "summarize")("text").alias("reply"))
+    return model_text.failures(replies, "reply").select("doc_id")
+
+
 @registry.query("L01_row_classify", f"SELECT doc_id, CASE WHEN contains(lower(text), 'error') THEN 'problem' ELSE 'normal' END AS reply FROM documents WHERE {_ASCII}")
 def l01(spark: SparkSession, d: str) -> DataFrame:
-    return _ascii(spark, d).select("doc_id", model_text.per_row(model_text.Offline, "classify")("text").alias("reply"))
+    return classified(_ascii(spark, d))
+
+
+@registry.query("L01_row_classify_all", _CLASSIFIED)
+def l01_all(spark: SparkSession, d: str) -> DataFrame:
+    return classified(table(spark, d, "documents"))
 
 
 @registry.query("L03_batch_join_back")
@@ -449,7 +472,13 @@ def l07(spark: SparkSession, d: str) -> DataFrame:
 @registry.query("L10_broadcast_config", f"SELECT doc_id, CASE WHEN contains(lower(text), 'error') THEN 'problem' ELSE 'normal' END AS reply FROM documents WHERE {_ASCII}")
 def l10(spark: SparkSession, d: str) -> DataFrame:
     task = spark.sparkContext.broadcast({"task": "classify"})
-    return _ascii(spark, d).repartition(16).select("doc_id", model_text.per_row(model_text.Offline, task.value["task"])("text").alias("reply"))
+    return classified(_ascii(spark, d).repartition(16), task.value["task"])
+
+
+@registry.query("L10_broadcast_config_all", _CLASSIFIED)
+def l10_all(spark: SparkSession, d: str) -> DataFrame:
+    task = spark.sparkContext.broadcast({"task": "classify"})
+    return classified(table(spark, d, "documents").repartition(16), task.value["task"])
 
 
 @registry.query("L12_english_transform", "SELECT r_name FROM region WHERE r_regionkey < 3")
@@ -483,13 +512,17 @@ def l05(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query("L08_struct_reply", f"SELECT doc_id, length(text) AS n FROM documents WHERE {_ASCII}")
 def l08(spark: SparkSession, d: str) -> DataFrame:
-    return _ascii(spark, d).select("doc_id", model_text.parsed_rows(model_text.Offline)("text").alias("x")).select("doc_id", F.col("x.length").alias("n"))
+    return lengths(_ascii(spark, d))
+
+
+@registry.query("L08_struct_reply_all", "SELECT doc_id, coalesce(length(text), 0) AS n FROM documents")
+def l08_all(spark: SparkSession, d: str) -> DataFrame:
+    return lengths(table(spark, d, "documents"))
 
 
 @registry.query("L09_retries", f"SELECT doc_id FROM documents WHERE {_ASCII} AND false")
 def l09(spark: SparkSession, d: str) -> DataFrame:
-    replies = _ascii(spark, d).select("doc_id", model_text.per_row(lambda: model_text.Offline(fail_every=5), "summarize")("text").alias("reply"))
-    return model_text.failures(replies, "reply").select("doc_id")
+    return failed_summaries(table(spark, d, "documents"), 5)
 
 
 @registry.query(

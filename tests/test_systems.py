@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from quern.functions import model_text, questions
 from quern.operators import graph, vectors
+from quern.plans import systems
+from quern.plans.registry import table
 from quern.sources import files, wide_column
+from tests.sql_match import assert_same, connection
 
 FRIENDS = [("a", "b", "friend"), ("b", "c", "follow"), ("c", "b", "follow"), ("f", "c", "follow"), ("e", "f", "follow"), ("e", "d", "friend"), ("d", "a", "friend"), ("a", "e", "friend")]
 PEOPLE = list("abcdefg")
@@ -76,6 +79,38 @@ def test_model_calls(spark):
     assert model_text.failures(failing, "reply").count() == 250
 
 
+TEXTS = ["", None, "fine", "ERROR", "café error", "Fehler – ErRoR", "érror", "ERRÓR", "İERROR\u212a", "错误", "e\u0301rror", "👩\u200d👩\u200d👧", "a\u00a0b\r\nerror\u2028", "err\nor", "\x00error"]
+
+
+@pytest.fixture(scope="module")
+def any_texts(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("texts"))
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["L01_row_classify_all", "L08_struct_reply_all", "L10_broadcast_config_all"])
+def test_model_queries_take_texts_of_any_letters(spark, any_texts, name):
+    if name.startswith("L08"):
+        want = {i: len(t or "") for i, t in enumerate(TEXTS)}
+    else:
+        want = {i: None if t is None else "problem" if "error" in t.lower() else "normal" for i, t in enumerate(TEXTS)}
+    assert dict(map(tuple, systems.registry.queries[name](spark, any_texts).collect())) == want
+    assert_same(spark, connection(any_texts), systems.registry.queries[name], systems.registry.sql[name], any_texts)
+
+
+def test_only_e_r_and_o_have_such_a_lower_case():
+    assert {chr(c) for c in range(0x110000) if set(chr(c).lower()) & set("ero")} == set("eroERO")
+
+
+def test_retries_reach_every_document(spark, any_texts):
+    asked = table(spark, any_texts, "documents")
+    assert {r.doc_id for r in systems.failed_summaries(asked, 1).collect()} == {i for i, t in enumerate(TEXTS) if t is not None}
+    assert systems.registry.queries["L09_retries"](spark, any_texts).count() == 0
+    scanned = systems.registry.queries["L09_retries"](spark, any_texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in scanned
+
+
 def test_retries_recover():
     client = model_text.Offline(fail_every=2)
     assert [model_text.ask(client, "summarize\na b") for _ in range(4)] == ["a b"] * 4
