@@ -16,17 +16,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.staging import stage
 
 #: fixed value: the form of a sound city name, matched against the whole value
 CITY_FORM = r"\A\p{Lu}\p{L}*([ '-]\p{L}+)*\z"
+#: of a sound name of a person, country or continent
+NAME_FORM = CITY_FORM
 
 
 @dataclass(frozen=True)
 class Check:
-    """A column to profile: ``kind`` is ``whole`` (any integer type), ``frac`` (double) or ``text``.
-    ``valid`` tells sound from unsound non-null values; ``blank_is_null`` counts blank text as null."""
+    """A column to profile: ``kind`` is ``whole`` (any integer type), ``frac`` (double), ``text`` or ``time`` (timestamp
+    with or without zone, profiled as whole microseconds since 1970). ``valid`` tells sound from unsound non-null values; ``blank_is_null`` counts blank text as null."""
 
     column: str
     kind: str
@@ -39,17 +42,26 @@ _VALUE = ["whole", "frac", "txt"]
 _WHERE = ["table_name", "column_name"]
 
 
+def _micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970; of a timestamp without zone as it is written, whatever the session's zone."""
+    if df.schema[column].dataType == T.TimestampType():
+        return F.unix_micros(F.col(f"`{column}`"))
+    since = F.col(f"`{column}`").cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    return (since.cast("decimal(20,6)") * 1_000_000).cast("bigint")
+
+
 def counted_values(df: DataFrame, table: str, load: str, checks: Sequence[Check]) -> DataFrame:
     """``(table_name, column_name, load_no, whole, frac, txt, n, bad)``: how often each value occurs in each load."""
     cells = []
     for c in checks:
-        value = F.col(f"`{c.column}`").cast(_KINDS[c.kind])
+        kind = "whole" if c.kind == "time" else c.kind
+        value = _micros(df, c.column) if c.kind == "time" else F.col(f"`{c.column}`").cast(_KINDS[kind])
         if c.blank_is_null:
             value = F.when(F.length(F.trim(value)) > 0, value)
-        if c.kind == "frac":
+        if kind == "frac":
             value = F.when(~F.isnan(value), value)  # NaN is no value: it counts as null
         bad = F.coalesce(~c.valid(value), F.lit(False)) if c.valid else F.lit(False)
-        own = {k: (value if k == c.kind else F.lit(None)).cast(t) for k, t in _KINDS.items()}
+        own = {k: (value if k == kind else F.lit(None)).cast(t) for k, t in _KINDS.items()}
         cells.append(F.struct(F.lit(c.column).alias("column_name"), own["whole"].alias("whole"), own["frac"].alias("frac"), own["text"].alias("txt"), bad.alias("bad")))
     long = df.select(F.col(f"`{load}`").cast("long").alias("load_no"), F.explode(F.array(*cells)).alias("c"))
     return long.groupBy(F.lit(table).alias("table_name"), "c.column_name", "load_no", "c.whole", "c.frac", "c.txt").agg(

@@ -40,12 +40,29 @@ EMPLOYEE_CHECKS = (
 )
 PLACE_CHECKS = (quality.Check("city", "text", lambda v: v.rlike(quality.CITY_FORM), blank_is_null=True),)
 
+#: the other columns of the two tables, all but load_no
+STAFF_REST = (
+    quality.Check("row_id", "whole"),
+    quality.Check("id", "whole"),
+    quality.Check("name", "text", lambda v: v.rlike(quality.NAME_FORM), blank_is_null=True),
+    quality.Check("department_id", "whole", lambda v: v > 0),
+    quality.Check("recorded_at", "time"),
+    quality.Check("arrived_at", "time"),
+)
+PLACE_REST = (
+    quality.Check("row_id", "whole"),
+    quality.Check("continent", "text", lambda v: v.rlike(quality.NAME_FORM), blank_is_null=True),
+    quality.Check("country", "text", lambda v: v.rlike(quality.NAME_FORM), blank_is_null=True),
+    quality.Check("temperature", "frac", lambda v: v.between(-90, 60)),
+    quality.Check("recorded_at", "time"),
+)
+
 
 def load_profile(spark: SparkSession, d: str, wide: bool) -> DataFrame:
     staff, places = list(EMPLOYEE_CHECKS), list(PLACE_CHECKS)
     if wide:
-        staff += [quality.Check("department_id", "whole"), quality.Check("name", "text", blank_is_null=True)]
-        places += [quality.Check("temperature", "frac", lambda v: v.between(-90, 60)), quality.Check("country", "text", blank_is_null=True), quality.Check("continent", "text", blank_is_null=True)]
+        staff += STAFF_REST
+        places += PLACE_REST
     values = quality.counted_values(table(spark, d, "employees"), "employees", "load_no", staff)
     return quality.profile(values.unionByName(quality.counted_values(table(spark, d, "continents_countries_temp"), "continents_countries_temp", "load_no", places)))
 

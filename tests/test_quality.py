@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators.quality import CITY_FORM, Check, counted_values, findings, profile
+from quern.plans import data_problems
+from quern.plans.registry import table
+from tests.sql_match import SMALL, connection
 
 SCHEMA = "load_no int, age int, temp double, city string, n int, bad string"
 
@@ -79,3 +82,39 @@ def test_empty_single_load_and_all_null(spark):
 @pytest.mark.parametrize("city,sound", [("Rom", True), ("Saint-Étienne", True), ("O'Hara", True), ("rom", False), ("Rom ", False), ("Rom\n", False), ("A  B", False), ("Rom2", False), ("-Rom", False)])
 def test_city_form(spark, city, sound):
     assert spark.createDataFrame([(city,)], "c string").select(F.col("c").rlike(CITY_FORM)).first()[0] is sound
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_times_are_profiled_to_the_microsecond(spark, kind):
+    texts = [(1, "2024-03-31 02:30:00.000001"), (1, "2024-03-31 02:30:00.000002"), (1, None), (2, "1969-12-31 23:59:59.999999"), (2, "2024-03-31 03:30:00"), (2, "2024-03-31 03:30:00")]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin" if kind == "timestamp_ntz" else "UTC")  # 02:30 does not exist there
+    try:
+        df = spark.createDataFrame(texts, "load_no int, at string").withColumn("at", F.col("at").cast(kind))
+        got = {r.load_no: r for r in profile(counted_values(df, "t", "load_no", [Check("at", "time")])).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    half_past_two, half_past_three = 1_711_852_200_000_000, 1_711_855_800_000_000
+    assert (got[1].n_rows, got[1].n_null, got[1].n_distinct, got[1].top_count) == (3, 1, 2, 1)
+    assert (got[1].min_value, got[1].max_value) == (str(half_past_two + 1), str(half_past_two + 2))
+    assert (got[2].min_value, got[2].max_value, got[2].n_distinct, got[2].top_count) == ("-1", str(half_past_three), 2, 2)
+    assert got[1].median2 == 2 * half_past_two + 3 and got[1].rest_median2 == got[2].median2 == 2 * half_past_three
+    assert got[1].ks == pytest.approx(2 / 3)
+
+
+def test_profile_query_has_every_column(spark):
+    got = {(r.table_name, r.column_name, r.load_no): r for r in data_problems.p3_profile(spark, SMALL).collect()}
+    con = connection(SMALL)
+    for name in ("employees", "continents_countries_temp"):
+        kinds = {c: k for c, k in table(spark, SMALL, name).dtypes if c != "load_no"}
+        assert {c for t, c, _ in got if t == name} == kinds.keys()
+        for c, kind in kinds.items():
+            v = f"CASE WHEN length(trim({c})) > 0 THEN {c} END" if kind == "string" else f"epoch_us({c})" if kind.startswith("timestamp") else c
+            bad = {"string": rf"NOT regexp_full_match({c}, '\p{{Lu}}\p{{L}}*([ ''-]\p{{L}}+)*') AND length(trim({c})) > 0"}.get(kind, "department_id <= 0" if c == "department_id" else None)
+            for load, n, nulls, distinct, lo, hi, wrong in con.execute(f"SELECT load_no, count(*), count(*) - count(v), count(DISTINCT v), min(v), max(v), count(*) FILTER (WHERE {bad or 'false'}) FROM (SELECT *, {v} AS v FROM {name}) GROUP BY 1").fetchall():
+                r = got[name, c, load]
+                assert (r.n_rows, r.n_null, r.n_distinct) == (n, nulls, distinct)
+                if kind != "double" and lo is not None:
+                    assert (r.min_value, r.max_value) == (str(lo), str(hi))
+                if bad:
+                    assert r.n_invalid == wrong
