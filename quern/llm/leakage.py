@@ -96,9 +96,9 @@ def _halves(sizes: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, begin, more
 
 
-def _word_slices(batch: pa.RecordBatch, overlap: int = 0) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, sizes, words) of consecutive rows with about SLICE_WORDS words. A longer row comes alone, in pieces of
-    SLICE_WORDS words and ``overlap`` more."""
+def _word_slices(batch: pa.RecordBatch, overlap: int = 0) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(ids, sizes, words, None) of consecutive rows with about SLICE_WORDS words. A longer row comes alone, in pieces of
+    SLICE_WORDS words and ``overlap`` more, each with all the row's words behind it."""
     lists = batch.column(1)
     sizes = lists.value_lengths().to_numpy().astype(np.int64)
     ends = np.cumsum(sizes)
@@ -111,9 +111,9 @@ def _word_slices(batch: pa.RecordBatch, overlap: int = 0) -> Iterator[tuple[pa.A
         if len(words) > SLICE_WORDS:
             for at in range(0, max(1, len(words) - overlap), SLICE_WORDS):
                 piece = words[at : at + SLICE_WORDS + overlap]
-                yield ids, np.array([len(piece)]), piece
+                yield ids, np.array([len(piece)]), piece, words
         else:
-            yield ids, sizes[a:b], words
+            yield ids, sizes[a:b], words, None
         a = b
 
 
@@ -181,7 +181,7 @@ def fit_latent(encoded: DataFrame, items: Items, passage: int, rank: int, width:
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omega, df, z, total = _random(terms, width), np.zeros(terms, np.int64), np.zeros((terms, width)), 0
         for batch in batches:
-            for _, sizes, words in _word_slices(batch):
+            for _, sizes, words, _ in _word_slices(batch):
                 total += _sketch_of(sizes, words, passage, omega, df, z)
         if total:
             df[0] = total
@@ -314,12 +314,15 @@ class _Search:
 
     def run(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = self.items
-        # a piece of a very long text holds whatever begins in it: passages, the words around them, answers
-        overlap = 4 * self.half + max([2 * len(w) for w in items.words] + [len(w) for w in items.answers], default=0)
+        # a piece of a very long text holds whatever begins in it: passages and the words around them; answers are looked for in all of it
+        overlap = 4 * self.half + max([2 * len(w) for w in items.words], default=0)
         for batch in batches:
-            for ids, sizes, words in _word_slices(batch, min(overlap, SLICE_WORDS)):
+            long, answered = None, {}
+            for ids, sizes, words, whole in _word_slices(batch, overlap):
                 if not len(words):
                     continue
+                if whole is not long:
+                    long, answered = whole, {}
                 row, begin, end = self.passages(sizes, words)
                 exact = self.verbatim(sizes, words, row, begin, end)
                 near = self.paraphrases(sizes, words, row, begin, end) if self.cosine is not None else {}
@@ -329,9 +332,14 @@ class _Search:
                 starts = np.cumsum(sizes) - sizes
                 out = []
                 for r, i in pairs:
-                    text = words[starts[r] : starts[r] + sizes[r]]
                     cosine, share = near.get((r, i), (None, None))
-                    out.append((ids[r].as_py(), items.keys[i], (r, i) in exact, cosine, share, holds(text, items.answers[i]) if self.cosine is not None else None))
+                    if self.cosine is None:
+                        answer = None
+                    elif whole is None:
+                        answer = holds(words[starts[r] : starts[r] + sizes[r]], items.answers[i])
+                    else:
+                        answer = answered[i] if i in answered else answered.setdefault(i, holds(whole, items.answers[i]))
+                    out.append((ids[r].as_py(), items.keys[i], (r, i) in exact, cosine, share, answer))
                 docs, keys, found, cosines, shares, answers = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs, ids.type), pa.array(keys, pa.int64()), pa.array(found), pa.array(cosines, pa.float64()), pa.array(shares, pa.float64()), pa.array(answers, pa.bool_())],

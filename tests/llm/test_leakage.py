@@ -80,6 +80,17 @@ def test_paraphrase_and_answer(spark):
     assert got[2, 5].verbatim and not got[2, 5].has_answer
 
 
+def test_answer_anywhere_in_a_long_document(spark):
+    rng = random.Random(2)
+    item, answer = [f"q{i}" for i in range(30)], ["forty", "two"]
+    noise = lambda n: rng.choices(VOCAB, k=n)
+    far = 2 * leakage.SLICE_WORDS + 500
+    docs = [item + noise(far) + answer, answer + noise(far) + item, item + noise(far), item + noise(leakage.SLICE_WORDS - 31) + answer + noise(9)]
+    d, _ = frames(spark, docs, [])
+    e = spark.createDataFrame([(5, " ".join(item), "Forty-two")], "item_id bigint, text string, answer string")
+    assert {r.doc_id: r.has_answer for r in leakage.leaks(d, e).collect()} == {0: True, 1: True, 2: False, 3: True}
+
+
 def test_empty_null_and_repeated(spark):
     docs, items = make(2)
     d, e = frames(spark, docs, items)
