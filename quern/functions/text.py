@@ -67,4 +67,4 @@ def level_counts(df: DataFrame, line: str, levels: tuple[str, ...] = ("error", "
 
 def title_words(text: Column) -> Column:
     """First letter of each blank-separated word in upper case, the rest as it is (unlike ``initcap``)."""
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")

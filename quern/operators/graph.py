@@ -109,7 +109,8 @@ def connected_components(graph: Graph, max_rounds: int = 60) -> DataFrame:
 
     Rounds of two steps: every vertex links its larger neighbours to its smallest one, then its smaller ones. Each round
     is written to the shared folder; the loop ends when links stop changing. Minima are combined before the
-    shuffle, so a vertex of very many edges costs no task more than others.
+    shuffle. The joins with them meet on the vertex: one of very many edges is a skewed key there, which adaptive
+    execution splits, as its links are shuffled on both ends afterwards.
     """
     links = graph.edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now = stage(links, "links")
@@ -136,7 +137,8 @@ def connected_components(graph: Graph, max_rounds: int = 60) -> DataFrame:
 
 def page_rank(graph: Graph, reset: float = 0.15, tol: float = 0.01, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
     """``(vertices with pagerank, edges with weight = 1 / out degree)``. Ranks add up to the number of vertices; the rank
-    of vertices without out-edges is spread over all. Stops when no rank changes by ``tol`` or more in a round."""
+    of vertices without out-edges is spread over all. Stops when no rank changes by ``tol`` or more in a round; that it
+    does not settle in ``max_rounds`` is an error."""
     edges = graph.edges.join(graph.out_degrees(), F.col("src") == F.col("id")).withColumn("weight", 1.0 / F.col("out_degree")).drop("id", "out_degree")
     arcs = stage(edges.select("src", "dst", "weight"), "weights")
     sources = stage(arcs.frame.select(F.col("src").alias("id")).distinct().withColumn("leaves", F.lit(True)), "sources")
@@ -155,5 +157,8 @@ def page_rank(graph: Graph, reset: float = 0.15, tol: float = 0.01, max_rounds:
         ranks = following
         if change < tol:
             break
+    else:
+        if total:
+            raise RuntimeError(f"ranks not settled after {max_rounds} rounds")
     ranked = graph.vertices.join(ranks.frame.select(F.col("id").alias("__id"), F.col("rank").alias("pagerank")), F.col("id") == F.col("__id")).drop("__id")
     return ranked, edges

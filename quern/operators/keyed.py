@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.columns import col, unused
+
 Merge = Callable[[Column], Column]
 
 
@@ -51,12 +53,26 @@ def best_per_key(df: DataFrame, key: str, item: str, score: str) -> DataFrame:
     return best.select(key, F.col(f"b.{item}").alias(item), F.col(f"b.{score}").alias(score))
 
 
-def sessions(df: DataFrame, user: str, at: str, tie: str, gap_minutes: int = 30) -> DataFrame:
-    """Add ``session``: 1, 2 ... per user; a session begins at the first event and after a gap of more than ``gap_minutes``."""
-    order = Window.partitionBy(user).orderBy(at, tie)
-    gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(order).cast("timestamp"))
-    starts = F.when(gap.isNull() | (gap > gap_minutes * 60_000_000), 1).otherwise(0)
-    return df.withColumn("__new", starts).withColumn("session", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def sessions(df: DataFrame, user: str, at: str, tie: str, gap_minutes: int = 30, stretch: str = "DAY") -> DataFrame:
+    """Add ``session``: 1, 2 ... per user; a session begins at the first event and after a gap of more than ``gap_minutes``.
+
+    A user's events are numbered in stretches of time (a unit of ``date_trunc``) on their own; how many sessions begin in each
+    stretch, and whether its first event opens one, comes from the stretches' first and last times, of which there is one
+    row per user and stretch. So no task gets all events of a hot user. Null times come first, as one stretch.
+    """
+    when, part, new, n, first, last, before, open_, of, own = (unused(df, x) for x in ("__when", "__part", "__new", "__n", "__first", "__last", "__before", "__open", "__of", "__own"))
+    gap_of = lambda a, b: a.isNull() | b.isNull() | (a - b > gap_minutes * 60_000_000)
+    cut = df.withColumn(when, F.unix_micros(col(at).cast("timestamp"))).withColumn(part, F.unix_micros(F.date_trunc(stretch, col(at).cast("timestamp"))))
+    order = Window.partitionBy(user, part).orderBy(col(at), col(tie))
+    inner = F.row_number().over(order) > 1
+    begun = cut.withColumn(new, (inner & gap_of(F.col(when), F.lag(when).over(order))).cast("int")).withColumn(new, F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = begun.groupBy(user, part).agg(F.max(new).alias(n), F.min(when).alias(first), F.max(when).alias(last))
+    along = Window.partitionBy(user).orderBy(part)
+    opens = ends.withColumn(open_, gap_of(F.col(first), F.lag(last).over(along)).cast("int"))
+    upto = F.sum(F.col(n) + F.col(open_)).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
+    starts = opens.select(col(user).alias(own), F.col(part).alias(of), upto.alias(before))
+    same = col(user).eqNullSafe(F.col(own)) & F.col(part).eqNullSafe(F.col(of))
+    return begun.join(starts, same).select(*[col(c) for c in df.columns], (F.col(new) + F.col(before)).alias("session"))
 
 
 def call_minutes(df: DataFrame, caller: str, start: str, end: str, flag: Column, least: int = 60) -> DataFrame:
@@ -68,11 +84,18 @@ def call_minutes(df: DataFrame, caller: str, start: str, end: str, flag: Column,
 
 
 def common_friends(friends: DataFrame, person: str = "person", friend: str = "friend") -> DataFrame:
-    """``(a, b, common)``: for each two people who are friends (``a < b``), the sorted list of their common friends."""
-    lists = friends.groupBy(F.col(person).alias("p")).agg(F.collect_set(friend).alias("fs"))
-    pairs = friends.select(F.least(person, friend).alias("a"), F.greatest(person, friend).alias("b")).where("a <> b").distinct()
-    return (
-        pairs.join(lists.select(F.col("p").alias("a"), F.col("fs").alias("x")), "a")
-        .join(lists.select(F.col("p").alias("b"), F.col("fs").alias("y")), "b")
-        .select("a", "b", F.sort_array(F.array_intersect("x", "y")).alias("common"))
-    )
+    """``(a, b, common)``: for each two people who are friends (``a < b``), the sorted list of their common friends.
+
+    Of two friends the one with the fewer friends names them, and each is looked up with the other: a person of very many
+    friends is never listed, and no list is longer than the shorter of two. A person without a list of their own has no pair.
+    """
+    known = friends.select(F.col(person).alias("p"), F.col(friend).alias("f")).where("p IS NOT NULL AND f IS NOT NULL").distinct()
+    counts = known.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    pairs = known.select(F.least("p", "f").alias("a"), F.greatest("p", "f").alias("b")).where("a <> b").distinct()
+    pairs = pairs.join(counts.select(F.col("p").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("p").alias("b"), F.col("n").alias("nb")), "b")
+    few = F.struct("na", "a") <= F.struct("nb", "b")
+    asked = pairs.select("a", "b", F.when(few, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(few, F.col("b")).otherwise(F.col("a")).alias("many"))
+    named = asked.join(known, F.col("few") == F.col("p")).select("a", "b", "many", F.col("f").alias("third"))
+    shared = named.join(known, (F.col("many") == F.col("p")) & (F.col("third") == F.col("f"))).groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sort_array(F.collect_list("third")).alias("common"))
+    none = F.array().cast(shared.schema["common"].dataType)
+    return pairs.select("a", "b").join(shared, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left").select("a", "b", F.coalesce("common", none).alias("common"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.columns import col, unused
-from quern.staging import BROADCAST_BYTES, stage
+from quern.staging import BROADCAST_BYTES, measured, stage
 
 BLOCK_WORDS = 512  # of 64 bits: 4 KiB a block
 BITS_PER_KEY = 12
@@ -78,11 +78,11 @@ def orphans(
     is already named ``reason`` makes the new one ``reason_``); no
     parents makes every reference an orphan; no children gives no rows.
 
-    The parents' lifetimes are broadcast only if their counted size is within ``max_broadcast``; beyond it
-    both sides shuffle on (key, salt), so that a parent with a third of all children spreads over ``salts`` tasks.
+    The parents' lifetimes are broadcast only if their measured size is within ``max_broadcast``; then the children are
+    read and probed once. Beyond it they are probed twice, once for the definite orphans, and for the others both sides shuffle on (key, salt), so that a parent with a third of all children spreads over ``salts`` tasks.
     """
     names = [col(c) for c in children.columns]
-    n_block, n_words, n_maybe, n_salt = (unused(children, x) for x in ("__block", "__words", "__maybe", "__salt"))
+    n_block, n_words, n_maybe, n_salt, n_asked = (unused(children, x) for x in ("__block", "__words", "__maybe", "__salt", "__asked"))
     n_parent, n_since, n_until, n_id, n_first, n_each = (unused(children, x) for x in ("__parent", "__since", "__until", "__id", "__first", "__each"))
     told = unused(children, "reason")
     blocks, n = bloom_blocks(parents, parent_key, max_broadcast)
@@ -90,22 +90,24 @@ def orphans(
     filter_ = F.broadcast(blocks.select(F.col("block").alias(n_block), F.col("words").alias(n_words)))
     probed = children.where(own.isNotNull()).join(filter_, _block(own, n) == F.col(n_block), "left")
     probed = probed.withColumn(n_maybe, might_exist(own, F.col(n_words))).drop(n_block, n_words)
-    # definite orphans join nothing: neither side of a shuffle gets hot by them
-    maybe, sure = probed.where(F.col(n_maybe)), probed.where(~F.col(n_maybe))
-
     lives = stage(_lifetimes(parents, parent_key, since, until).toDF(n_parent, n_since, n_until), "lifetimes")
-    alive = (own == F.col(n_parent)) & (F.col(n_since) <= when) & (F.col(n_until).isNull() | (when < F.col(n_until)))
+    # a definite orphan's key is null in the joins that verify, so that it meets nothing and makes no task hot
+    asked = F.when(F.col(n_maybe), own)
+    alive = (F.col(n_asked) == F.col(n_parent)) & (F.col(n_since) <= when) & (F.col(n_until).isNull() | (when < F.col(n_until)))
     first = lives.frame.groupBy(F.col(n_parent).alias(n_id)).agg(F.min(n_since).alias(n_first))
-    if lives.count() * 32 <= max_broadcast:
-        lost = maybe.join(F.broadcast(lives.frame), alive, "left_anti")
-        lost = lost.join(F.broadcast(first), own == F.col(n_id), "left")
+    known = F.col(n_asked) == F.col(n_id)
+    if measured(lives.frame)[1] <= max_broadcast:
+        lost = probed.withColumn(n_asked, asked).join(F.broadcast(lives.frame), alive, "left_anti")
+        lost = lost.join(F.broadcast(first), known, "left")
     else:
+        # two branches: what needs no check must not be shuffled along
         every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        lost = maybe.withColumn(n_salt, F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
-        lost = lost.join(lives.frame.withColumn(n_each, every), alive & (F.col(n_salt) == F.col(n_each)), "left_anti")
-        lost = lost.join(first.withColumn(n_each, every), (own == F.col(n_id)) & (F.col(n_salt) == F.col(n_each)), "left")
+        salted = probed.where(F.col(n_maybe)).withColumn(n_asked, asked).withColumn(n_salt, F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
+        lost = salted.join(lives.frame.withColumn(n_each, every), alive & (F.col(n_salt) == F.col(n_each)), "left_anti")
+        lost = lost.join(first.withColumn(n_each, every), known & (F.col(n_salt) == F.col(n_each)), "left")
+        lost = lost.drop(n_each, n_salt).unionByName(probed.where(~F.col(n_maybe)), allowMissingColumns=True)
     reason = F.when(F.col(n_id).isNull(), "missing").when(when < F.col(n_first), "not_yet").otherwise("deleted")
-    return sure.select(*names, F.lit("missing").alias(told)).unionByName(lost.select(*names, reason.alias(told)))
+    return lost.select(*names, reason.alias(told))
 
 
 def orphan_report(found: DataFrame, table: str, column: str, at: str) -> DataFrame:

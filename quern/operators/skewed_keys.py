@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.columns import col, unused
-from quern.staging import BROADCAST_BYTES, broadcast_if_small, stage
+from quern.staging import BROADCAST_BYTES, broadcast_if_small, measured, stage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's number in its low 33 bits
 _HALF = (1 << 32) - 1
@@ -37,7 +37,7 @@ class _Numbered:
 
     rows: DataFrame
     offsets: DataFrame
-    n_offsets: int
+    offset_bytes: int
     mid: str
     pid: str
     keys: list[str]
@@ -77,11 +77,8 @@ def _number(df: DataFrame, keys: list[str], pin: bool) -> _Numbered:
         F.coalesce(F.sum(n).over(Window.partitionBy(*ks).orderBy(p).rowsBetween(*before)), F.lit(0)).alias(offset),
         F.coalesce(F.sum(n).over(Window.partitionBy(p).orderBy(*ks).rowsBetween(*before)), F.lit(0)).alias(start),
     )
-    return _Numbered(rows, offsets, counts.count(), mid, p, ks, start, offset)
-
-
-def _offset_bytes(numbered: _Numbered) -> int:
-    return 40 + 40 * len(numbered.keys)
+    held, size = measured(counts.frame)
+    return _Numbered(rows, offsets, size + 8 * held, mid, p, ks, start, offset)
 
 
 def _at(partition: Column, keys: Sequence[Column], numbered: _Numbered) -> Column:
@@ -106,7 +103,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], position: str = "position",
     """
     keys = _plain_keys(df, keys)
     x = _number(df, keys, pin)
-    offsets = broadcast_if_small(x.offsets, x.n_offsets, _offset_bytes(x))
+    offsets = broadcast_if_small(x.offsets, size=x.offset_bytes)
     joined = x.rows.join(offsets, _at(x.partition, [col(k) for k in keys], x), "left")
     return joined.select(*[col(c) for c in df.columns], (x.index + x.shift).alias(unused(df, position)))
 
@@ -129,9 +126,11 @@ def chunked_stats(df: DataFrame, keys: Sequence[str], value: str, distinct: str,
     of their partition first, the blocks' states get their positions, and a block belongs to the chunk in which it
     begins, so that a chunk has at most twice ``chunk_rows`` rows.
 
+    ``n_chunks`` is how many chunks the key's positions take, the same on either way.
+
     A chunk's sum is kept as two longs (high and low halves of the values), which cannot overflow in a
     chunk and need no decimals per row. The chunk states carry their first and last position; merging them
-    checks that they fill the key's positions without a gap, ``contiguous``.
+    checks that they fill the key's positions without a gap, ``contiguous``; where they do not, ``n_rows`` is an error.
     """
     keys = _plain_keys(df, keys)
     k = [f"k{i}" for i in range(len(keys))]
@@ -144,7 +143,7 @@ def chunked_stats(df: DataFrame, keys: Sequence[str], value: str, distinct: str,
         "hi": F.sum(F.shiftright("v", 32)),
         "lo": F.sum(F.col("v").bitwiseAND(_HALF)),
     }
-    if x.n_offsets * _offset_bytes(x) <= max_broadcast:
+    if x.offset_bytes <= max_broadcast:
         placed = x.rows.join(F.broadcast(x.offsets), _at(x.partition, [F.col(c) for c in k], x), "left").withColumn("at", x.index + x.shift)
         pieces = placed.groupBy(*k, F.floor(F.col("at") / chunk_rows).alias("chunk"), "d").agg(*[c.alias(n) for n, c in state.items()], F.min("at").alias("first"), F.max("at").alias("last"))
     else:
@@ -170,7 +169,7 @@ def chunked_stats(df: DataFrame, keys: Sequence[str], value: str, distinct: str,
     merged = chunks.groupBy(*k).agg(
         F.sum("n").alias("n_rows"),
         F.when(F.sum("nv") > 0, F.sum("s")).cast(wide).alias("total"),
-        F.count(F.lit(1)).alias("n_chunks"),
+        F.ceil(F.sum("n") / chunk_rows).alias("n_chunks"),
         (F.bool_and(F.col("last") - F.col("first") + 1 == F.col("n")) & (F.min("first") == 0) & (F.max("last") + 1 == F.sum("n"))).alias("contiguous"),
     )
     values = pieces.frame.where("d IS NOT NULL").select(*k, "d").distinct().groupBy(*k).agg(F.count(F.lit(1)).alias("nd"))
@@ -180,7 +179,7 @@ def chunked_stats(df: DataFrame, keys: Sequence[str], value: str, distinct: str,
         .join(values.alias("b"), same, "left")
         .select(
             *[F.col(f"a.{n}").alias(c) for n, c in zip(k, keys)],
-            "n_rows",
+            F.when(F.col("contiguous"), F.col("n_rows")).otherwise(F.raise_error(F.lit("the chunks of a key leave a gap"))).alias("n_rows"),
             F.col("total").alias(f"sum_{value}"),
             F.coalesce("nd", F.lit(0)).alias(f"n_{distinct}"),
             "n_chunks",

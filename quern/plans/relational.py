@@ -217,4 +217,4 @@ over(
     "SELECT c.k, list_sort(list_intersect(a, b)) AS both FROM (SELECT c_mktsegment AS k, list(DISTINCT c_nationkey) AS a FROM customer GROUP BY 1) c, (SELECT list(DISTINCT s_nationkey) AS b FROM supplier WHERE s_acctbal < 0) s",
     lambda c, s: c.groupBy(F.col("c_mktsegment").alias("k")).agg(F.collect_set("c_nationkey").alias("a")).select("k", F.sort_array(F.array_intersect("a", s.where("s_acctbal < 0").agg(F.collect_set("s_nationkey")).scalar())).alias("both")),
 )
-over("customer nation", "U05_exclusion_list", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)", lambda c, n: c.join(F.broadcast(n.where("n_regionkey = 0")), c.c_nationkey == n.n_nationkey, "left_anti").select("c_custkey"))
+over("customer nation", "U05_exclusion_list", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)", lambda c, n: joins.small_side(c, n.where("n_regionkey = 0"), c.c_nationkey == n.n_nationkey, "left_anti").select("c_custkey"))

@@ -10,8 +10,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -65,14 +66,37 @@ def stage(df: DataFrame, label: str) -> Staged:
     return Staged(df, label)
 
 
-#: Largest table, by rows times stated width, that this library ever broadcasts.
+#: Largest table, by its measured size, that this library ever broadcasts.
 BROADCAST_BYTES = 8 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint when ``rows * row_bytes`` is within ``limit``; else unchanged, so that
-    the join shuffles and adaptive execution splits skewed partitions."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+def row_bytes(df: DataFrame) -> Column:
+    """The bytes of one row as Spark holds it: a word of null bits, a word per column, and what texts, binaries and arrays take."""
+    size = F.lit(8 + 8 * len(df.columns)).cast("bigint")
+    for f in df.schema.fields:
+        own = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            more = F.octet_length(own) + 8
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.NumericType, T.BooleanType)):
+            more = 8 * F.size(own) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            more = 4 * F.octet_length(F.to_json(F.struct(own)))
+        else:
+            continue
+        size = size + F.coalesce(F.greatest(more, F.lit(0)), F.lit(0))
+    return size
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of ``df``, counted in one job."""
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first())
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, size: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint when its measured bytes (or ``size``, if they are known) are within ``limit``; else with a
+    merge hint, so that the join shuffles, whatever the optimizer guesses from the size of compressed files, and adaptive
+    execution splits skewed partitions."""
+    return F.broadcast(df) if (measured(df)[1] if size is None else size) <= limit else df.hint("merge")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -40,7 +40,7 @@ def test_too_many_offsets_for_a_broadcast_give_the_same(spark, chunk):
     rows = rows_of()
     got = chunked_stats(spark.createDataFrame(rows, SCHEMA).repartition(5), ["a", "b"], "v", "city", chunk_rows=chunk, max_broadcast=0).collect()
     assert {(r.a, r.b): (r.n_rows, None if r.sum_v is None else int(r.sum_v), r.n_city) for r in got} == brute(rows)
-    assert all(r.contiguous and r.n_chunks <= -(-r.n_rows // chunk) for r in got)
+    assert all(r.contiguous and r.n_chunks == -(-r.n_rows // chunk) for r in got)
 
 
 def test_sum_does_not_overflow(spark):
@@ -86,3 +86,10 @@ def test_rows_are_not_shuffled(spark):
     plan = number_rows(spark.range(1000).withColumn("k", F.col("id") % 3), ["k"], pin=False)._jdf.queryExecution().executedPlan().toString()
     big_side = plan.split("BroadcastExchange")[0]
     assert "Exchange hashpartitioning" not in big_side
+
+
+def test_offsets_of_long_keys_are_measured_not_guessed(spark):
+    rows = spark.range(400).select(F.concat(F.lit("x" * 30_000), F.col("id").cast("string")).alias("k"), F.lit(1).alias("v"), F.lit("c").alias("city"))
+    plan = number_rows(rows, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert "BroadcastHashJoin" in number_rows(rows.select(F.substring("k", 30_000, 9).alias("k")), ["k"])._jdf.queryExecution().executedPlan().toString()
