@@ -18,6 +18,16 @@ def test_top_n_ranks_within_partitions_before_the_shuffle(spark):
     assert "IsNotNull(salary)" in text and "name" not in text.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_millions_of_groups_shuffle_no_row_before_the_filter(spark):
+    rows = spark.range(3_000_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 1_000_000).alias("g"), (F.col("id") * 7919 % 10_007).cast("double").alias("score"))
+    found = topn.top_n(rows, "g", "score", "id", 2)
+    text = plan(found)
+    below = text[text.index("BroadcastHashJoin") :].split("BroadcastExchange")[0]
+    assert "Exchange" not in below and "SortMergeJoin" not in text
+    assert text.index("WindowGroupLimit") < text.index("Exchange hashpartitioning") < text.rindex("WindowGroupLimit") < text.index("BroadcastHashJoin")
+    assert found.groupBy("g").count().agg(F.max("count"), F.count("*")).first() == (2, found.select("g").distinct().count())
+
+
 def test_spans_read_two_columns_and_join_no_text_by_shuffle(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     text = plan(spans.shared_spans(docs))

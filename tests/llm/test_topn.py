@@ -40,11 +40,22 @@ def test_not_a_number_ranks_first(spark):
     assert [r.id for r in top_n(spark.createDataFrame(rows, SCHEMA), "g", "score", "id", 2).orderBy("rank_").collect()] == [2, 3]
 
 
-def test_shuffled_thresholds_give_the_same(spark, monkeypatch):
-    rows = [(i, f"g{i % 3}", float(i * i % 101), 0, 0) for i in range(300)]
+@pytest.mark.parametrize("room", [0, 1, 5])
+def test_fewer_thresholds_than_groups_give_the_same(spark, room):
+    rows = [(i, "hot" if i % 3 == 0 else f"g{i % 40}", float(i * i % 101), 0, 0) for i in range(900)]
     df = spark.createDataFrame(rows, SCHEMA)
-    monkeypatch.setattr(topn, "broadcast_if_small", lambda d, *_: d)
-    assert sorted(r.id for r in top_n(df, "g", "score", "id", 4).collect()) == brute(rows, 4)
+    assert topn._thresholds(df, F.col("g"), F.col("score"), 4, room).count() <= room
+    assert sorted(r.id for r in top_n(df, "g", "score", "id", 4, thresholds=room).collect()) == brute(rows, 4)
+
+
+def test_the_thresholds_kept_are_those_of_the_largest_groups(spark):
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 700)).alias("g"), F.col("id").cast("double").alias("score"))
+    assert [r.key for r in topn._thresholds(df, F.col("g"), F.col("score"), 5, 3).collect()] == [spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]]
+
+
+def test_more_than_a_partial_limit_of_rows(spark):
+    rows = [(i, "hot" if i % 3 else "b", float(i % 7), 0, 0) for i in range(4000)]
+    assert sorted(r.id for r in top_n(spark.createDataFrame(rows, SCHEMA), "g", "score", "id", 1100).collect()) == brute(rows, 1100)
 
 
 def test_buckets_never_fall(spark):
