@@ -18,18 +18,11 @@ PER_MILLE = (500, 900, 950, 990)
 
 
 def _percentiles(spark: SparkSession, d: str, monthly: bool) -> DataFrame:
-    """Whole numbers and fractions are bisected apart, each in its own type."""
-    whole, frac = [], []
+    summaries = []
     for name, group, value in _P2_TABLES:
         df = table(spark, d, name).withColumn("table_name", F.lit(name)).withColumn("grp", F.col(group).cast("string")).withColumn("month", F.date_format("recorded_at", "yyyy-MM"))
-        summary = quantiles.summarize(df, ["table_name", "grp", "month"], value)
-        (frac if value == "temperature" else whole).append(summary)
-    groups = ["table_name", "grp", *["month"] * monthly]
-    parts = []
-    for summaries in (whole, frac):
-        found = quantiles.percentiles(quantiles.combine(*summaries), groups, PER_MILLE)
-        parts.append(found.withColumns({c: F.col(c).cast("double") for c in ("lower", "upper")}))
-    return parts[0].unionByName(parts[1])
+        summaries.append(quantiles.summarize(df, ["table_name", "grp", "month"], value))
+    return quantiles.percentiles(summaries, ["table_name", "grp", *["month"] * monthly], PER_MILLE)
 
 
 def _percentile_sql(month: str) -> str:
