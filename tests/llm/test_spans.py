@@ -67,14 +67,51 @@ def test_null_ids_empty_table_and_nothing_shared(spark):
     assert run(spark, [(None, "a" * 50), (1, "a" * 50)], 10) == set()
 
 
-def test_hot_hashes_and_shuffled_joins_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("chars", [40, 800])
+def test_hot_hashes_and_shuffled_joins_give_the_same(spark, monkeypatch, chars):
     texts = corpus(8)
     want = run(spark, texts, 20)
-    monkeypatch.setattr(spans, "HOT_ROWS", 3)
-    monkeypatch.setattr(spans, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(spans, "HOT_CHARS", chars)
+    monkeypatch.setattr(spans, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(spans, "BROADCAST_BYTES", -1)
     assert run(spark, texts, 20) == want == brute([(d, t or "") for d, t in texts], 20)
 
 
+def test_texts_that_a_hash_modulo_a_power_of_two_takes_for_equal(spark):
+    """Two complementary Thue-Morse texts of 1,024 characters have the same hash at every odd base."""
+    rng = random.Random(3)
+    shared = "".join(rng.choices("abcdefghij", k=3072))
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    hasher = windows.Hasher()
+    h = [hasher.windows(hasher.prefix(np.frombuffer(t.encode(), np.uint8)), 1024)[0] for t in (thue, other)]
+    assert h[0] == h[1]
+    prime = windows.PrimeHasher(987654321987654321)
+    assert len({int(prime.windows(np.frombuffer(t.encode(), np.uint8), 1024)[0]) for t in (thue, other)}) == 2
+    assert run(spark, [(1, shared + thue), (2, shared + other)], 4096) == set()
+    assert run(spark, [(1, shared + thue + "x"), (2, "y" + shared + thue), (3, shared + other)], 4096) == {(1, 0, 4096), (2, 1, 4097)}
+
+
+def test_prime_hashes(monkeypatch):
+    rng = np.random.default_rng(1)
+    base, p = 2**60 + 12345, windows.PRIME
+    a, b = (rng.integers(0, p, 500, dtype=np.uint64) for _ in "ab")
+    a[:3], b[:3] = p - 1, [p - 1, 1, 0]
+    assert [int(x) for x in windows._times(a, b)] == [int(x) * int(y) % p for x, y in zip(a, b)]
+    codes = rng.integers(0, 0x10FFFF, 200).astype(np.uint32)
+    want = [sum((int(c) + 1) * pow(base, k, p) for k, c in enumerate(codes[i : i + 37])) % p for i in range(164)]
+    assert [int(x) for x in windows.PrimeHasher(base).windows(codes, 37)] == want
+
+
+def test_one_passage_in_a_third_of_all_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choices("klmnopqrst", k=n))
+    passage = "".join(rng.choices("abcdefghij", k=90))
+    texts = [(i, noise(120) if i % 3 else noise(rng.randrange(30)) + passage + noise(30)) for i in range(90)]
+    monkeypatch.setattr(spans, "HOT_CHARS", 400)
+    assert run(spark, texts, 40) == brute(texts, 40)
+
+
 def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(windows, "SLICE_CHARS", 64)
     rng = random.Random(2)
@@ -82,9 +119,9 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     texts = [(1, long), (2, "x" * 70 + long[333:555] + "y"), (3, long[900:] + long[:50])]
     schema = pa.schema([("doc", pa.int64()), ("text", pa.string())])
     batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in texts]), pa.array([t for _, t in texts])], schema=schema)
-    cut = {tuple(r.values()) for b in spans._anchors([batch], 40, 40, False) for r in b.to_pylist()}
+    cut = {tuple(r.values()) for b in spans._single_windows([batch], 40, False, (5, 7)) for r in b.to_pylist()}
     monkeypatch.setattr(windows, "SLICE_CHARS", 1 << 20)
-    whole = {tuple(r.values()) for b in spans._anchors([batch], 40, 40, False) for r in b.to_pylist()}
+    whole = {tuple(r.values()) for b in spans._single_windows([batch], 40, False, (5, 7)) for r in b.to_pylist()}
     assert cut == whole and len(whole) == sum(max(0, len(t) - 39) for _, t in texts)
 
 
