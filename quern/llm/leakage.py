@@ -4,19 +4,19 @@ Corpus passages (overlapping windows of words) and evaluation passages are TF-ID
 the evaluation texts; no other word can add to a product with one of them. Their latent directions come from a
 randomised SVD: one distributed pass multiplies the matrix of all corpus passages with a random one (Nystroem
 form); the evaluation passages are further rows of the matrix, weighted so that they outweigh the corpus and are
-represented (almost) without loss. Corpus passages are projected and compared with every evaluation passage.
+represented well. All corpus passages are projected and compared with every evaluation passage.
 
-Two kinds of candidates result. *Verbatim*: a passage that holds a run of ``run`` words of an evaluation passage has
-an inner product with it of at least that run's own energy; the product is at most the latent product plus
-the product of the two residual norms. Pairs that stay below the weakest run's energy are ruled out with
-certainty, so the search loses nothing at any rank; an exact run check follows. *Paraphrases*: passages of
-high latent cosine are compared by longest common subsequence of words, and the answer is looked for.
+Candidates are the pairs of passages whose latent cosine reaches a threshold, and those that could hold a common run
+whatever their cosine: a passage with a run of ``run`` words of an evaluation passage has an inner product with it
+of at least that run's own energy, and the product is at most the latent product plus the product of the two residual
+norms, so no common run is lost at any rank. Each candidate is then checked: for a run of ``run`` words, for the longest
+common subsequence with the item, and for the answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,47 +26,54 @@ from pyspark.sql import types as T
 
 from quern.llm.tokens import Vocabulary, word_strings
 from quern.llm.windows import Hasher
-from quern.staging import Staged, stage
-
-#: a whole number of passages of 26 words
-SLICE_WORDS = 26 * 2520
-FLUSH_WORDS = 1 << 20
+from quern.staging import Staged, measured, stage
+
+#: about how many words are searched at once
+SLICE_WORDS = 1 << 16
+#: evaluation texts collected and encoded together, by their bytes
+ITEM_BYTES = 1 << 26
+#: passages of evaluation texts searched at once: their words x (PASSAGES + width) matrix is the driver's
+PASSAGES = 512
+PAIR_WORDS = 1 << 20
 SUM_AT_ONCE = 1024  # partitions whose sums one task adds up
 CHUNK = 1024  # passages projected at once
 TERM_BLOCK = 256
 
 
-@dataclass
 class Items:
-    """One block of evaluation texts: words as numbers, passages of ``span`` words, latent data once fitted."""
-
-    keys: list
-    words: list[np.ndarray]
-    answers: list[np.ndarray]
-    run: int
-    size: int
-    span: int = 64
-
-    def __post_init__(self):
-        step = self.span - self.run + 1
-        self.passage_item, self.passages = [], []
-        for i, w in enumerate(self.words):
-            for a in range(0, max(1, len(w) - self.run + 1), step):
-                self.passage_item.append(i)
-                self.passages.append(w[a : a + self.span])
-        self.passage_item = np.array(self.passage_item, np.int64)
+    """A block of evaluation passages of ``span`` words, with the whole texts that they are of; latent data once fitted.
+    ``local`` maps the vocabulary's numbers to the block's own, 0 for words that the block has not."""
+
+    def __init__(self, keys: list, words: list[np.ndarray], answers: list[np.ndarray], run: int, size: int, span: int = 64, cut: list[tuple[int, int]] | None = None):
+        self.run, self.span = run, span
+        cut = self.cuts(words, run, span) if cut is None else cut
+        used = sorted({i for i, _ in cut})
+        number = {i: k for k, i in enumerate(used)}
+        self.keys = [keys[i] for i in used]
+        known = np.unique(np.concatenate([np.empty(0, np.int64), *[words[i] for i in used], *[answers[i] for i in used]]))
+        known = known[known > 0]
+        self.size, self.local = len(known), np.zeros(size + 1, np.int32)
+        self.local[known] = np.arange(1, len(known) + 1)
+        self.words, self.answers = ([self.local[x[i]].astype(np.int64) for i in used] for x in (words, answers))
+        self.passage_item = np.array([number[i] for i, _ in cut], np.int64)
+        self.passages = [self.words[number[i]][a : a + span] for i, a in cut]
         grams, owner = [], []
         for i, w in enumerate(self.words):
-            if len(w) >= self.run:
-                grams.append(np.lib.stride_tricks.sliding_window_view(w, self.run))
-                owner.append(np.full(len(w) - self.run + 1, i))
-        self.grams = np.concatenate(grams) if grams else np.empty((0, self.run), np.int64)
+            if len(w) >= run:
+                grams.append(np.lib.stride_tricks.sliding_window_view(w, run))
+                owner.append(np.full(len(w) - run + 1, i))
+        self.grams = np.concatenate(grams) if grams else np.empty((0, run), np.int64)
         self.gram_item = np.concatenate(owner) if owner else np.empty(0, np.int64)
         hasher = Hasher()
-        self.gram_hash = np.array([hasher.windows(hasher.prefix(g.astype(np.int64)), self.run)[0] for g in self.grams], np.uint64)
+        self.gram_hash = np.array([hasher.windows(hasher.prefix(g), run)[0] for g in self.grams], np.uint64)
         order = np.argsort(self.gram_hash, kind="stable")
         self.grams, self.gram_item, self.gram_hash = self.grams[order], self.gram_item[order], self.gram_hash[order]
 
+    @staticmethod
+    def cuts(words: list[np.ndarray], run: int, span: int = 64) -> list[tuple[int, int]]:
+        """(text, first word) of every passage; any run of ``run`` words lies in one."""
+        return [(i, a) for i, w in enumerate(words) for a in range(0, max(1, len(w) - run + 1), span - run + 1)]
+
     def fit(self, weight: np.ndarray, basis: np.ndarray) -> None:
         """``weight``: idf per word number; ``basis``: words x rank, orthonormal columns."""
         self.weight = weight
@@ -96,21 +103,22 @@ def _halves(sizes: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, begin, more
 
 
-def _word_slices(batch: pa.RecordBatch, overlap: int = 0) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray | None]]:
+def _word_slices(batch: pa.RecordBatch, local: np.ndarray, step: int = 1, overlap: int = 0) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray | None]]:
     """(ids, sizes, words, None) of consecutive rows with about SLICE_WORDS words. A longer row comes alone, in pieces of
-    SLICE_WORDS words and ``overlap`` more, each with all the row's words behind it."""
+    SLICE_WORDS words, rounded to a multiple of ``step``, and ``overlap`` more, each with all the row's words behind it."""
     lists = batch.column(1)
     sizes = lists.value_lengths().to_numpy().astype(np.int64)
     ends = np.cumsum(sizes)
-    values = lists.flatten().to_numpy().astype(np.int64)
+    values = local[lists.flatten().to_numpy()].astype(np.int64)
+    most = -(-SLICE_WORDS // step) * step
     a = 0
     while a < len(sizes):
         done = ends[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(ends, done + SLICE_WORDS, side="right")))
+        b = max(a + 1, int(np.searchsorted(ends, done + most, side="right")))
         ids, words = batch.column(0).slice(a, b - a), values[done : ends[b - 1]]
-        if len(words) > SLICE_WORDS:
-            for at in range(0, max(1, len(words) - overlap), SLICE_WORDS):
-                piece = words[at : at + SLICE_WORDS + overlap]
+        if len(words) > most:
+            for at in range(0, max(1, len(words) - overlap), most):
+                piece = words[at : at + most + overlap]
                 yield ids, np.array([len(piece)]), piece, words
         else:
             yield ids, sizes[a:b], words, None
@@ -120,14 +128,9 @@ def _word_slices(batch: pa.RecordBatch, overlap: int = 0) -> Iterator[tuple[pa.A
 def _encoded(docs: DataFrame, vocabulary: Vocabulary, kind: T.DataType) -> Staged:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, flat, ends = 0, [], [0]
-            for i, text in enumerate(batch.column(1)):
-                flat += vocabulary.encode(text.as_py())
-                ends.append(len(flat))
-                if len(flat) > FLUSH_WORDS or i + 1 == batch.num_rows:
-                    lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), lists], names=["doc", "words"])
-                    first, flat, ends = i + 1, [], [0]
+            for first, counts, numbers in vocabulary.encode_all(batch.column(1)):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(numbers))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), lists], names=["doc", "words"])
 
     return stage(docs.mapInArrow(encode, T.StructType([T.StructField("doc", kind), T.StructField("words", T.ArrayType(T.IntegerType()))])), "words")
 
@@ -174,14 +177,15 @@ def fit_latent(encoded: DataFrame, items: Items, passage: int, rank: int, width:
 
     With T the passages' word counts and D the idf weights, the SVD is that of X = T D. One pass gives both df
     and Z = T'T O for a random O; X'X (D^-1 O) = D Z, so the weights, known only afterwards, need no second pass.
-    The driver gets the words x ``width`` matrix of one block of items: bounded by the block, not the corpus.
+    The driver gets the words x ``width`` matrix of one block of items and adds the block's passages as rows of the same
+    total weight as the corpus: words x (``width`` + PASSAGES), bounded by the block.
     """
     terms = items.size + 1
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omega, df, z, total = _random(terms, width), np.zeros(terms, np.int64), np.zeros((terms, width)), 0
         for batch in batches:
-            for _, sizes, words, _ in _word_slices(batch):
+            for _, sizes, words, _ in _word_slices(batch, items.local, passage):
                 total += _sketch_of(sizes, words, passage, omega, df, z)
         if total:
             df[0] = total
@@ -216,7 +220,7 @@ def fit_latent(encoded: DataFrame, items: Items, passage: int, rank: int, width:
     own = np.zeros((terms, len(items.passages)))
     for p, words in enumerate(items.passages):
         np.add.at(own[:, p], words, weight[words])
-    own *= np.sqrt(1.0 + np.square(corpus).sum()) / max(1e-9, np.sqrt(np.square(own).sum() / max(1, own.shape[1])))
+    own *= np.sqrt(max(1.0, np.square(corpus).sum()) / max(1e-9, np.square(own).sum()))
     basis, strength, _ = np.linalg.svd(np.column_stack([corpus, own]), full_matrices=False)
     found = max(1, min(rank, int((strength > 1e-9 * strength.max(initial=0)).sum())))
     items.fit(weight, basis[:, :found])
@@ -237,95 +241,125 @@ class _Search:
         return row, begin, np.minimum(begin + 2 * self.half, np.cumsum(sizes)[row])
 
     def project(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray):
-        """(latent vectors, residual norms) of passages."""
+        """(latent vectors, residual norms) of consecutive passages; each half is projected once."""
         items = self.items
+        middle = np.minimum(begin + self.half, end)
+        halves = np.unique(np.concatenate([begin, middle]))
+        known = words > 0
+        upto = np.concatenate(([0], np.cumsum(known)))
+        kept = words[known]
+        stop = np.minimum(halves + self.half, np.concatenate([halves[1:], [end[-1]]]))
+        # a half ends with the passage or where the next begins, so that words between two rows' passages are nobody's
+        sums = np.zeros((len(halves), items.table.shape[1]), np.float32)
+        full = np.flatnonzero(upto[stop] > upto[halves])
+        if len(full):
+            a, b = upto[halves[full]], upto[stop[full]]
+            gathered = items.table[kept[a[0] : b[-1]]]
+            sums[full] = np.add.reduceat(gathered, a - a[0], axis=0)
+        latent = sums[np.searchsorted(halves, begin)]
+        second = middle < end
+        latent[second] += sums[np.searchsorted(halves, middle[second])]
         long = end - begin
         at = np.arange(long.sum()) + np.repeat(begin - (np.cumsum(long) - long), long)
         w, p = words[at], np.repeat(np.arange(len(begin)), long)
         keys, n = np.unique(p[w > 0] * (items.size + 1) + w[w > 0], return_counts=True)
-        p, w = keys // (items.size + 1), keys % (items.size + 1)
-        latent = np.zeros((len(begin), items.table.shape[1]), np.float32)
-        if len(keys):
-            new = np.flatnonzero(np.r_[True, np.diff(p) != 0])
-            latent[p[new]] = np.add.reduceat(items.table[w] * n[:, None].astype(np.float32), new, axis=0)
-        norm = np.bincount(p, (n * items.weight[w]) ** 2, len(begin))
+        norm = np.bincount(keys // (items.size + 1), (n * items.weight[keys % (items.size + 1)]) ** 2, len(begin))
         residual = np.sqrt(np.maximum(0.0, norm - np.einsum("ij,ij->i", latent, latent, dtype=np.float64)) + 1e-6 * norm)
         return latent, residual
 
-    def verbatim(self, sizes, words, row, begin, end) -> set[tuple[int, int]]:
-        """(row, item) with a common run: candidates by the safe bound, then the runs themselves.
-
-        A run has only words of the vocabulary, so passages in which no such run begins are not projected."""
-        items = self.items
-        if not len(items.grams) or len(words) < items.run:
+    def candidates(self, words, begin, end) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, evaluation passage, latent cosine, whether that reaches the threshold) of the pairs worth a check."""
+        items, found = self.items, []
+        length = items.length.astype(np.float32)
+        for chunk in np.array_split(np.arange(len(begin)), -(-len(begin) // CHUNK)):
+            latent, residual = self.project(words, begin[chunk], end[chunk])
+            product = latent @ items.latent.T
+            own = np.sqrt(np.einsum("ij,ij->i", latent, latent))
+            run = product + residual[:, None].astype(np.float32) * items.residual.astype(np.float32) >= (items.least * 0.999).astype(np.float32)
+            near = product >= self.cosine * np.maximum(own[:, None] * length, 1e-9) if self.cosine is not None else np.zeros_like(run)
+            p, q = np.nonzero(run | near)
+            found.append((chunk[p], q, product[p, q] / np.maximum(own[p] * length[q], 1e-9), near[p, q]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def verbatim(self, words, ends, row, begin, p, q) -> set[tuple[int, int]]:
+        """(row, item) of the candidates with a common run, by its hash and then by its words."""
+        items, run = self.items, self.items.run
+        if not len(items.grams) or len(words) < run or not len(p):
             return set()
+        candidate = np.unique(p * len(items.keys) + items.passage_item[q])
+        asked = np.zeros(len(begin), bool)
+        asked[p] = True
+        # windows of known words that begin in a passage with a candidate; one that begins in the second half of a
+        # row's last passage lies in that passage
         upto = np.concatenate(([0], np.cumsum(words > 0)))
-        starts = np.flatnonzero(upto[items.run :] - upto[: -items.run] == items.run)
-        # a run that begins in the second half of a row's last passage lies in that passage
+        starts = np.flatnonzero(upto[run:] - upto[:-run] == run)
         of = np.searchsorted(begin, starts, side="right") - 1
-        inside = starts + items.run <= np.cumsum(sizes)[row[of]]
+        inside = asked[of] & (starts + run <= ends[row[of]])
         starts, of = starts[inside], of[inside]
-        if not len(starts):
-            return set()
-        open_, where = np.unique(of, return_inverse=True)
-        candidate = np.concatenate([self.candidates(words, begin[c], end[c]) for c in np.array_split(open_, -(-len(open_) // CHUNK))])
-        starts, where = starts[candidate.any(1)[where]], where[candidate.any(1)[where]]
-        if not len(starts):
-            return set()
-        hashes = self.hasher.windows(self.hasher.prefix(words), items.run)[starts]
+        hashes = self.hasher.windows(self.hasher.prefix(words), run)[starts]
         left = np.searchsorted(items.gram_hash, hashes, side="left")
         right = np.searchsorted(items.gram_hash, hashes, side="right")
         found = set()
         for k in np.flatnonzero(left < right):
             for g in range(left[k], right[k]):
-                i = items.gram_item[g]
-                if candidate[where[k], i] and np.array_equal(words[starts[k] : starts[k] + items.run], items.grams[g]):
-                    found.add((int(row[open_[where[k]]]), int(i)))
+                i = int(items.gram_item[g])
+                key = of[k] * len(items.keys) + i
+                at = np.searchsorted(candidate, key)
+                if at < len(candidate) and candidate[at] == key and np.array_equal(words[starts[k] : starts[k] + run], items.grams[g]):
+                    found.add((int(row[of[k]]), i))
         return found
 
-    def candidates(self, words, begin, end) -> np.ndarray:
-        """passages x items: whether the product can reach the energy of the weakest run of one of the item's passages."""
-        items = self.items
-        latent, residual = self.project(words, begin, end)
-        bound = latent @ items.latent.T + residual[:, None].astype(np.float32) * items.residual.astype(np.float32)
-        hit = bound >= (items.least * 0.999).astype(np.float32)
-        out = np.zeros((len(begin), len(items.keys)), bool)
-        np.logical_or.at(out.T, items.passage_item, hit.T)
-        return out
-
-    def paraphrases(self, sizes, words, row, begin, end) -> dict[tuple[int, int], tuple[float, float]]:
-        """(row, item) -> (cosine, LCS share) of passages near in the latent space and in the order of words."""
+    def paraphrases(self, words, ends, row, begin, p, q, cosine) -> dict[tuple[int, int], tuple[float, float]]:
+        """(row, item) -> (cosine, LCS share) of the candidates with enough words of the item in its order around the passage."""
         items = self.items
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        for chunk in np.array_split(np.arange(len(begin)), -(-len(begin) // CHUNK)):
-            latent, _ = self.project(words, begin[chunk], end[chunk])
-            length = np.sqrt(np.einsum("ij,ij->i", latent, latent))
-            cosine = latent @ items.latent.T / np.maximum(length[:, None] * items.length.astype(np.float32), 1e-9)
-            for p, q in zip(*np.nonzero(cosine >= self.cosine)):
-                r, i = int(row[chunk[p]]), int(items.passage_item[q])
-                item = items.words[i]
-                a = max(int(starts[r]), int(begin[chunk[p]]) - len(item) // 2)
-                share = lcs_length(item, words[a : min(int(ends[r]), int(begin[chunk[p]]) + 2 * self.half + len(item) // 2)]) / max(1, len(item))
-                if share >= self.lcs:
-                    best[r, i] = max(best.get((r, i), (0.0, 0.0)), (float(cosine[p, q]), share), key=lambda x: x[1])
+        if not len(p):
+            return best
+        of, starts = items.passage_item[q], np.concatenate(([0], ends[:-1]))
+        sizes = np.array([len(w) for w in items.words])
+        a = np.maximum(starts[row[p]], begin[p] - sizes[of] // 2)
+        z = np.minimum(ends[row[p]], begin[p] + 2 * self.half + sizes[of] // 2)
+        common = np.zeros(len(p), np.int64)
+        short = sizes[of] <= 64
+        for k in np.flatnonzero(~short):
+            common[k] = lcs_length(items.words[of[k]], words[a[k] : z[k]])
+        at = np.flatnonzero(short)
+        if len(at):
+            wide = int((z[at] - a[at]).max())
+            for part in np.array_split(at, -(-len(at) * max(1, wide) // PAIR_WORDS)):
+                common[part] = lcs_lengths(self.masks, sizes[of[part]], of[part], words, a[part], z[part])
+        share = common / np.maximum(1, sizes[of])
+        for k in np.flatnonzero((share >= self.lcs) & (sizes[of] > 0)):
+            key = int(row[p[k]]), int(of[k])
+            best[key] = max(best.get(key, (0.0, 0.0)), (float(cosine[k]), float(share[k])), key=lambda x: (x[1], x[0]))
         return best
 
+    @cached_property
+    def masks(self) -> np.ndarray:
+        """For each item of up to 64 words and each word, the places where it stands, as bits."""
+        out = np.zeros((len(self.items.words), self.items.size + 1), np.uint64)
+        for i, item in enumerate(self.items.words):
+            if len(item) <= 64:
+                np.bitwise_or.at(out[i], item, np.uint64(1) << np.arange(len(item), dtype=np.uint64))
+        out[:, 0] = 0
+        return out
+
     def run(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = self.items
         # a piece of a very long text holds whatever begins in it: passages and the words around them; answers are looked for in all of it
         overlap = 4 * self.half + max([2 * len(w) for w in items.words], default=0)
         for batch in batches:
             long, answered = None, {}
-            for ids, sizes, words, whole in _word_slices(batch, overlap):
+            for ids, sizes, words, whole in _word_slices(batch, items.local, self.half, overlap):
                 if not len(words):
                     continue
                 if whole is not long:
                     long, answered = whole, {}
                 row, begin, end = self.passages(sizes, words)
-                exact = self.verbatim(sizes, words, row, begin, end)
-                near = self.paraphrases(sizes, words, row, begin, end) if self.cosine is not None else {}
+                ends = np.cumsum(sizes)
+                p, q, cosines, near = self.candidates(words, begin, end)
+                exact = self.verbatim(words, ends, row, begin, p, q)
+                near = self.paraphrases(words, ends, row, begin, p[near], q[near], cosines[near])
                 pairs = sorted(exact | near.keys())
                 if not pairs:
                     continue
@@ -361,6 +395,17 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def lcs_lengths(masks: np.ndarray, sizes: np.ndarray, of: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """:func:`lcs_length` of many pairs at once: item ``of`` (of ``sizes`` words, up to 64) and ``words[begin:end]``."""
+    full = np.full(len(of), np.iinfo(np.uint64).max, np.uint64) >> (64 - np.maximum(1, sizes)).astype(np.uint64)
+    v = full.copy()
+    for step in range(int((end - begin).max())):
+        at = begin + step
+        u = v & masks[of, np.where(at < end, words[np.minimum(at, len(words) - 1)], 0)]
+        v = ((v + u) | (v - u)) & full
+    return np.maximum(1, sizes) - np.bitwise_count(v)
+
+
 def holds(text: np.ndarray, part: np.ndarray) -> bool:
     """Whether ``part`` stands in ``text`` word by word; an empty part does not."""
     if not len(part) or len(part) > len(text):
@@ -378,43 +423,50 @@ def leaks(
     item_text: str = "text",
     answer: str | None = "answer",
     run: int = 13,
-    rank: int = 512,
+    rank: int = 128,
     width: int = 80,
     cosine: float | None = 0.25,
     lcs: float = 0.5,
-    block: int = 1_000,
+    passage: int | None = None,
+    block: int = PASSAGES,
 ) -> DataFrame:
     """``(doc, item, verbatim, cosine, lcs_share, has_answer)``, one row per document and item that are linked.
 
     ``verbatim``: ``run`` or more consecutive words of the item stand in the document. Paraphrases: a passage
     of latent cosine ``cosine`` or more shares a subsequence of at least ``lcs`` of the item's words; with
-    ``cosine=None`` only verbatim pairs come out. Items are a query set, taken in blocks of ``block`` (each
-    collected, with its own vocabulary and basis) against all documents.
+    ``cosine=None`` only verbatim pairs come out. ``has_answer``: the answer stands anywhere in the document. Passages have
+    ``passage`` words (three runs and one by default), half of them shared with the next.
+
+    Items are a query set: their texts are collected, up to ITEM_BYTES together, and the documents are encoded once for all of
+    those; ``block`` passages of them are searched at a time, with a basis of their own.
 
     Rows with a null id are left out; null, empty or short texts link to nothing; repeated rows of one id give
     one row; an item that equals another is found along with it. Empty tables give no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
     kind = docs.schema[doc].dataType
     plain = docs.where(F.col(f"`{doc}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     asked = items.where(F.col(f"`{item}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(
         F.col(f"`{item}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("text"), (F.col(f"`{answer}`") if answer else F.lit(None)).cast("string").alias("answer")
     )
     schema = T.StructType([T.StructField("doc", kind), T.StructField("item", T.LongType()), T.StructField("verbatim", T.BooleanType()), T.StructField("cosine", T.DoubleType()), T.StructField("lcs_share", T.DoubleType()), T.StructField("has_answer", T.BooleanType())])
-    passage = 2 * run
-    n_blocks = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(n_blocks):
-        mine = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b)
+    passage = 2 * ((3 * run + 1) // 2) if passage is None else passage
+    if passage % 2 or passage // 2 < run - 1:
+        raise ValueError("a passage has an even number of words and half of it at least all but one of a run")
+    parts = []
+    groups = max(1, -(-measured(asked)[1] // ITEM_BYTES))
+    for n in range(groups):
+        mine = asked if groups == 1 else asked.where(F.pmod(F.xxhash64("item"), F.lit(groups)) == n)
         rows = sorted(set(map(tuple, mine.collect())), key=str)
         texts, answers = [word_strings(r[1]) for r in rows], [word_strings(r[2]) for r in rows]
         vocabulary = Vocabulary([*texts, *answers])
         numbers = lambda ws: np.array([vocabulary.ids[w] for w in ws], np.int64)
-        asked_block = Items([r[0] for r in rows], [numbers(w) for w in texts], [numbers(w) for w in answers], run, vocabulary.size)
-        encoded = _encoded(plain, vocabulary, kind)
-        fit_latent(encoded.frame, asked_block, passage, rank, width)
-        search = _Search(asked_block, passage, cosine, lcs)
-        part = encoded.frame.mapInArrow(lambda batches, s=search: s.run(batches), schema)
-        found = part if found is None else found.unionByName(part)
-    per_pair = found.groupBy("doc", "item").agg(*[F.max(c).alias(c) for c in schema.names[2:]])
+        keys, texts, answers = [r[0] for r in rows], list(map(numbers, texts)), list(map(numbers, answers))
+        cuts = Items.cuts(texts, run)
+        encoded = _encoded(plain, vocabulary, kind).frame
+        for at in range(0, max(1, len(cuts)), block):
+            chosen = Items(keys, texts, answers, run, vocabulary.size, cut=cuts[at : at + block])
+            fit_latent(encoded, chosen, passage, rank, width)
+            search = _Search(chosen, passage, cosine, lcs)
+            parts.append(encoded.mapInArrow(lambda batches, s=search: s.run(batches), schema))
+    per_pair = reduce(DataFrame.unionByName, parts).groupBy("doc", "item").agg(*[F.max(c).alias(c) for c in schema.names[2:]])
     return per_pair.withColumnsRenamed({"doc": doc, "item": item})

@@ -96,15 +96,17 @@ def p7_public_tokens(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), size=packing.count_pieces(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")(F.col("text")))
 
 
+def leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 @registry.query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), cosine=None)
-    return found.where("verbatim").select("doc_id", "item_id")
+    """Of all links, those whose check found a common run."""
+    return leaked(spark, d).where("verbatim").select("doc_id", "item_id")
 
 
-@registry.query("p8_leaks")
-def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+registry.add("p8_leaks", leaked)
 
 
 @registry.query("p9_found")
