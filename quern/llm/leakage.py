@@ -6,11 +6,11 @@ randomised SVD: one distributed pass multiplies the matrix of all corpus passage
 form); the evaluation passages are further rows of the matrix, weighted so that they outweigh the corpus and are
 represented well. All corpus passages are projected and compared with every evaluation passage.
 
-Candidates are the pairs of passages whose latent cosine reaches a threshold, and those that could hold a common run
-whatever their cosine: a passage with a run of ``run`` words of an evaluation passage has an inner product with it
-of at least that run's own energy, and the product is at most the latent product plus the product of the two residual
-norms, so no common run is lost at any rank. Each candidate is then checked: for a run of ``run`` words, for the longest
-common subsequence with the item, and for the answer.
+Candidates are the pairs of passages whose latent cosine reaches a threshold, a lower one for the check that costs
+less. They are then checked: for a common run of ``run`` words, for the longest common subsequence with the item, and for
+the answer. Where no common run may be missed at all, a bound takes the place of the threshold: a passage with a run
+of an evaluation passage has an inner product with it of at least that run's own energy, and the product is at most the
+latent product plus the product of the two residual norms.
 """
 
 from __future__ import annotations
@@ -229,8 +229,8 @@ def fit_latent(encoded: DataFrame, items: Items, passage: int, rank: int, width:
 class _Search:
     """Candidates and checks for slices of encoded documents against one fitted block of items."""
 
-    def __init__(self, items: Items, passage: int, cosine: float | None, lcs: float):
-        self.items, self.half, self.cosine, self.lcs = items, passage // 2, cosine, lcs
+    def __init__(self, items: Items, passage: int, cosine: float | None, lcs: float, run_cosine: float | None = None):
+        self.items, self.half, self.cosine, self.lcs, self.run_cosine = items, passage // 2, cosine, lcs, run_cosine
         self.hasher = Hasher()
 
     def passages(self, sizes: np.ndarray, words: np.ndarray):
@@ -240,8 +240,8 @@ class _Search:
         row, begin = row[first], begin[first]
         return row, begin, np.minimum(begin + 2 * self.half, np.cumsum(sizes)[row])
 
-    def project(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray):
-        """(latent vectors, residual norms) of consecutive passages; each half is projected once."""
+    def project(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Latent vectors of consecutive passages; each half is projected once."""
         items = self.items
         middle = np.minimum(begin + self.half, end)
         halves = np.unique(np.concatenate([begin, middle]))
@@ -259,36 +259,47 @@ class _Search:
         latent = sums[np.searchsorted(halves, begin)]
         second = middle < end
         latent[second] += sums[np.searchsorted(halves, middle[second])]
-        long = end - begin
+        return latent
+
+    def residual(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray, latent: np.ndarray) -> np.ndarray:
+        """The norms of what the projection leaves out."""
+        size, long = self.items.size + 1, end - begin
         at = np.arange(long.sum()) + np.repeat(begin - (np.cumsum(long) - long), long)
         w, p = words[at], np.repeat(np.arange(len(begin)), long)
-        keys, n = np.unique(p[w > 0] * (items.size + 1) + w[w > 0], return_counts=True)
-        norm = np.bincount(keys // (items.size + 1), (n * items.weight[keys % (items.size + 1)]) ** 2, len(begin))
-        residual = np.sqrt(np.maximum(0.0, norm - np.einsum("ij,ij->i", latent, latent, dtype=np.float64)) + 1e-6 * norm)
-        return latent, residual
+        keys, n = np.unique(p[w > 0] * size + w[w > 0], return_counts=True)
+        norm = np.bincount(keys // size, (n * self.items.weight[keys % size]) ** 2, len(begin))
+        return np.sqrt(np.maximum(0.0, norm - np.einsum("ij,ij->i", latent, latent, dtype=np.float64)) + 1e-6 * norm)
 
     def candidates(self, words, begin, end) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, evaluation passage, latent cosine, whether that reaches the threshold) of the pairs worth a check."""
-        items, found = self.items, []
+        """What to check: passages x items, whether a common run is looked for, and (passage, evaluation passage, latent
+        cosine) of the pairs to be compared by subsequence."""
+        items, runs, pairs = self.items, [], []
         length = items.length.astype(np.float32)
+        first = np.flatnonzero(np.r_[True, np.diff(items.passage_item) != 0])
         for chunk in np.array_split(np.arange(len(begin)), -(-len(begin) // CHUNK)):
-            latent, residual = self.project(words, begin[chunk], end[chunk])
+            latent = self.project(words, begin[chunk], end[chunk])
             product = latent @ items.latent.T
-            own = np.sqrt(np.einsum("ij,ij->i", latent, latent))
-            run = product + residual[:, None].astype(np.float32) * items.residual.astype(np.float32) >= (items.least * 0.999).astype(np.float32)
-            near = product >= self.cosine * np.maximum(own[:, None] * length, 1e-9) if self.cosine is not None else np.zeros_like(run)
-            p, q = np.nonzero(run | near)
-            found.append((chunk[p], q, product[p, q] / np.maximum(own[p] * length[q], 1e-9), near[p, q]))
-        return tuple(map(np.concatenate, zip(*found)))
-
-    def verbatim(self, words, ends, row, begin, p, q) -> set[tuple[int, int]]:
+            norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", latent, latent))[:, None] * length, 1e-9)
+            if self.run_cosine is None:
+                rest = self.residual(words, begin[chunk], end[chunk], latent)
+                run = product + rest[:, None].astype(np.float32) * items.residual.astype(np.float32) >= (items.least * 0.999).astype(np.float32)
+                product /= norms
+            else:
+                product /= norms
+                run = product >= self.run_cosine
+            runs.append(run if len(first) == run.shape[1] else np.logical_or.reduceat(run, first, axis=1))
+            if self.cosine is not None:
+                p, q = np.nonzero(product >= self.cosine)
+                pairs.append((chunk[p], q, product[p, q]))
+        none = np.empty(0, np.int64)
+        return np.concatenate(runs), *(map(np.concatenate, zip(*pairs)) if pairs else (none, none, np.empty(0)))
+
+    def verbatim(self, words, ends, row, begin, candidate) -> set[tuple[int, int]]:
         """(row, item) of the candidates with a common run, by its hash and then by its words."""
         items, run = self.items, self.items.run
-        if not len(items.grams) or len(words) < run or not len(p):
+        asked = candidate.any(1)
+        if not len(items.grams) or len(words) < run or not asked.any():
             return set()
-        candidate = np.unique(p * len(items.keys) + items.passage_item[q])
-        asked = np.zeros(len(begin), bool)
-        asked[p] = True
         # windows of known words that begin in a passage with a candidate; one that begins in the second half of a
         # row's last passage lies in that passage
         upto = np.concatenate(([0], np.cumsum(words > 0)))
@@ -303,9 +314,7 @@ class _Search:
         for k in np.flatnonzero(left < right):
             for g in range(left[k], right[k]):
                 i = int(items.gram_item[g])
-                key = of[k] * len(items.keys) + i
-                at = np.searchsorted(candidate, key)
-                if at < len(candidate) and candidate[at] == key and np.array_equal(words[starts[k] : starts[k] + run], items.grams[g]):
+                if candidate[of[k], i] and np.array_equal(words[starts[k] : starts[k] + run], items.grams[g]):
                     found.add((int(row[of[k]]), i))
         return found
 
@@ -346,6 +355,8 @@ class _Search:
 
     def run(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = self.items
+        if not items.keys:
+            return
         # a piece of a very long text holds whatever begins in it: passages and the words around them; answers are looked for in all of it
         overlap = 4 * self.half + max([2 * len(w) for w in items.words], default=0)
         for batch in batches:
@@ -357,9 +368,9 @@ class _Search:
                     long, answered = whole, {}
                 row, begin, end = self.passages(sizes, words)
                 ends = np.cumsum(sizes)
-                p, q, cosines, near = self.candidates(words, begin, end)
-                exact = self.verbatim(words, ends, row, begin, p, q)
-                near = self.paraphrases(words, ends, row, begin, p[near], q[near], cosines[near])
+                candidate, p, q, cosines = self.candidates(words, begin, end)
+                exact = self.verbatim(words, ends, row, begin, candidate)
+                near = self.paraphrases(words, ends, row, begin, p, q, cosines)
                 pairs = sorted(exact | near.keys())
                 if not pairs:
                     continue
@@ -427,14 +438,16 @@ def leaks(
     width: int = 80,
     cosine: float | None = 0.25,
     lcs: float = 0.5,
+    run_cosine: float | None = 0.15,
     passage: int | None = None,
     block: int = PASSAGES,
 ) -> DataFrame:
     """``(doc, item, verbatim, cosine, lcs_share, has_answer)``, one row per document and item that are linked.
 
-    ``verbatim``: ``run`` or more consecutive words of the item stand in the document. Paraphrases: a passage
-    of latent cosine ``cosine`` or more shares a subsequence of at least ``lcs`` of the item's words; with
-    ``cosine=None`` only verbatim pairs come out. ``has_answer``: the answer stands anywhere in the document. Passages have
+    ``verbatim``: ``run`` or more consecutive words of the item stand in a passage of latent cosine ``run_cosine`` or more;
+    with ``run_cosine=None`` in any passage that can hold such a run by the bound on its inner product, which misses none at
+    any rank, and rules out few at a low one. Paraphrases: a passage of latent cosine ``cosine`` or more shares a subsequence
+    of at least ``lcs`` of the item's words; with ``cosine=None`` only verbatim pairs come out. ``has_answer``: the answer stands anywhere in the document. Passages have
     ``passage`` words (three runs and one by default), half of them shared with the next.
 
     Items are a query set: their texts are collected, up to ITEM_BYTES together, and the documents are encoded once for all of
@@ -466,7 +479,7 @@ def leaks(
         for at in range(0, max(1, len(cuts)), block):
             chosen = Items(keys, texts, answers, run, vocabulary.size, cut=cuts[at : at + block])
             fit_latent(encoded, chosen, passage, rank, width)
-            search = _Search(chosen, passage, cosine, lcs)
+            search = _Search(chosen, passage, cosine, lcs, run_cosine)
             parts.append(encoded.mapInArrow(lambda batches, s=search: s.run(batches), schema))
     per_pair = reduce(DataFrame.unionByName, parts).groupBy("doc", "item").agg(*[F.max(c).alias(c) for c in schema.names[2:]])
     return per_pair.withColumnsRenamed({"doc": doc, "item": item})

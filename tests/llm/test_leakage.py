@@ -40,16 +40,16 @@ def frames(spark, docs, items):
 def test_verbatim_is_complete_at_any_rank(spark, rank, width, block):
     docs, items = make()
     want = {(i, j) for i, d in enumerate(docs) for j, e in enumerate(items) if runs(d, e, 13)}
-    got = leakage.leaks(*frames(spark, docs, items), cosine=None, rank=rank, width=width, block=block)
+    got = leakage.leaks(*frames(spark, docs, items), cosine=None, run_cosine=None, rank=rank, width=width, block=block)
     assert {(r.doc_id, r.item_id) for r in got.collect() if r.verbatim} == want and len(want) > 20
 
 
 def test_sums_in_two_steps_give_the_same(spark, monkeypatch):
     docs, items = make(3)
     d, e = frames(spark, docs, items)
-    want = {(r.doc_id, r.item_id) for r in leakage.leaks(d, e, cosine=None).collect()}
+    want = {(r.doc_id, r.item_id) for r in leakage.leaks(d, e, cosine=None, run_cosine=None).collect()}
     monkeypatch.setattr(leakage, "SUM_AT_ONCE", 2)
-    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d.repartition(7), e, cosine=None).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d.repartition(7), e, cosine=None, run_cosine=None).collect()} == want
 
 
 def test_pieces_of_long_documents(spark, monkeypatch):
@@ -98,7 +98,7 @@ def test_empty_null_and_repeated(spark):
     assert leakage.leaks(d.limit(0), e).count() == 0
     assert leakage.leaks(d, e.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, " ".join(items[2]), "x", 1), (1, None, "x", 1), (2, " ".join(items[2]), "x", 1), (2, " ".join(items[2]), "x", 1)], d.schema)
-    rows = leakage.leaks(odd, e.union(e), cosine=None).collect()
+    rows = leakage.leaks(odd, e.union(e), cosine=None, run_cosine=None).collect()
     assert all(r.doc_id == 2 for r in rows) and len(rows) == len({(r.doc_id, r.item_id) for r in rows})
 
 
@@ -127,7 +127,8 @@ def test_halves_add_up_to_the_passages():
     words = rng.integers(0, block.size + 1, sizes.sum()) * (rng.random(sizes.sum()) < 0.5)
     _, begin, end = search.passages(sizes, words)
     for chunk in (slice(None), slice(2, 9), slice(0, 1), slice(-1, None)):
-        latent, residual = search.project(words, begin[chunk], end[chunk])
+        latent = search.project(words, begin[chunk], end[chunk])
+        residual = search.residual(words, begin[chunk], end[chunk], latent)
         assert np.allclose(latent, [block.table[words[a:z]].sum(0) for a, z in zip(begin[chunk], end[chunk])], atol=1e-4)
         full = [np.bincount(words[a:z], minlength=block.size + 1) * block.weight for a, z in zip(begin[chunk], end[chunk])]
         assert np.allclose(residual**2 + (latent.astype(float) ** 2).sum(1), [(x[1:] ** 2).sum() * (1 + 1e-6) for x in full], atol=1e-3)
