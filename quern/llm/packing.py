@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.staging import broadcast_if_small, stage
+from quern.staging import broadcast_if_small, measured, stage
 
 #: fixed value: what counts as white space, as in Python's str.isspace
 _SPACE = r"\t\n\x0B\f\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,8 +29,15 @@ def count_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
 
 
-def count_pieces(path: str, pattern: str | None = None):
-    """A column function that counts the tokens of a public byte-level vocabulary (ranks file at ``path``), in Arrow batches."""
+#: fixed value: how the public byte-level vocabularies cut a text before merging
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: the size histogram, the plan and its places are held by the driver: as many numbers as a container has tokens
+MOST_CAPACITY = 1 << 20
+
+
+def count_pieces(path: str, pattern: str = BYTE_PATTERN):
+    """A column function that counts the tokens of a public byte-level vocabulary, in Arrow batches. The ranks file lies at
+    ``path`` on every executor; it is read once per Python worker and never copied."""
     @F.pandas_udf("int")
     def counted(texts: pd.Series) -> pd.Series:
         encode = _encoder(path, pattern)
@@ -39,20 +46,16 @@ def count_pieces(path: str, pattern: str | None = None):
     return counted
 
 
-def _encoder(path: str, pattern: str | None, cache: dict = {}):  # noqa: B006 - one encoder per worker process
-    if path not in cache:
+def _encoder(path: str, pattern: str, cache: dict = {}):  # noqa: B006 - one encoder per worker process
+    if (path, pattern) not in cache:
         import base64
 
         import tiktoken
 
-        if pattern is None:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        cache[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return cache[path]
+        cache[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return cache[path, pattern]
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -107,7 +110,7 @@ def _numbered(df: DataFrame, by: str, order: list[str], chunk_rows: int) -> Data
     upto = Window.partitionBy(by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.frame.select(by, "chunk", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
     ranked = cut.withColumn("r", F.row_number().over(Window.partitionBy(by, "chunk").orderBy(*order)) - 1)
-    return ranked.join(broadcast_if_small(offsets, counts.count(), 24), [by, "chunk"]).withColumn("nth", F.col("offset") + F.col("r")).drop("chunk", "offset", "r")
+    return ranked.join(broadcast_if_small(offsets, size=measured(counts.frame)[1]), [by, "chunk"]).withColumn("nth", F.col("offset") + F.col("r")).drop("chunk", "offset", "r")
 
 
 def pack(df: DataFrame, doc: str = "doc_id", size: Column | None = None, capacity: int = 1024, text: str = "text", chunk_rows: int = 1_000_000) -> DataFrame:
@@ -115,9 +118,11 @@ def pack(df: DataFrame, doc: str = "doc_id", size: Column | None = None, capacit
 
     A larger document is cut every ``capacity`` tokens: full pieces have containers of their own, the rest is packed
     like a document of its size. No container exceeds ``capacity``. Documents without tokens (null or empty) take no
-    space and are spread over the containers. Every row comes out, repeated and null ids too; an empty table gives no
+    space and are spread over the containers. A ``capacity`` beyond MOST_CAPACITY is an error. Every row comes out, repeated and null ids too; an empty table gives no
     rows; extra columns are ignored.
     """
+    if not 0 < capacity <= MOST_CAPACITY:
+        raise ValueError(f"a capacity lies between 1 and {MOST_CAPACITY}")
     tokens = (count_tokens(F.col(f"`{text}`")) if size is None else size).cast("bigint")
     # the row's number tells repeated and null ids apart; it is written with the sizes, so it never changes
     sized = stage(df.select(F.col(f"`{doc}`").alias("doc"), tokens.alias("t"), F.monotonically_increasing_id().alias("row")), "sizes")
@@ -138,7 +143,7 @@ def pack(df: DataFrame, doc: str = "doc_id", size: Column | None = None, capacit
         base += many
     schema = T.StructType([T.StructField(n, T.IntegerType() if n == "size" else T.LongType()) for n in ("size", "lo", "hi", "each", "base")])
     # as many rows as different fillings and sizes in them: bounded by the capacity, whatever the number of texts
-    slots = F.broadcast(df.sparkSession.createDataFrame(places, schema))
+    slots = broadcast_if_small(df.sparkSession.createDataFrame(places, schema), size=8 * 7 * len(places))
     nth = stage(_numbered(items, "n_tokens", ["row", "piece"], chunk_rows), "numbered")
     there = (F.col("n_tokens") == F.col("size")) & (F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi"))
     container = F.when(F.col("n_tokens") == 0, F.pmod("nth", F.lit(max(1, base)))).otherwise(F.col("base") + F.floor((F.col("nth") - F.col("lo")) / F.col("each")))

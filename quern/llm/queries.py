@@ -82,6 +82,19 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+@registry.query(
+    "p7_pieces",
+    f"""SELECT doc_id, n AS n_tokens, CAST(greatest(1, ceil(n / 1024)) AS BIGINT) AS n_pieces, n AS upto_token, CAST(0 AS BIGINT) AS overfull
+    FROM (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '{_TOKEN_RE2}')), 0) AS BIGINT) AS n FROM documents)""",
+)
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every text whole, whatever its container, and no container over its capacity."""
+    packed = packing.pack(table(spark, d, "documents"))
+    loads = packed.groupBy("container").agg(F.sum("n_tokens").alias("load")).agg(F.count_if(F.col("load") > 1024).alias("overfull"))
+    per = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_pieces"), F.max(F.col("first_token") + F.col("n_tokens")).alias("upto_token"))
+    return per.withColumn("overfull", loads.scalar())
+
+
 @registry.query("p7_fill")
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents")))
@@ -109,12 +122,24 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 registry.add("p8_leaks", leaked)
 
 
-@registry.query("p9_found")
+_SHARED = """WITH w AS (SELECT doc_id, s, md5(substr(text, s + 1, 300)) AS k FROM (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS s FROM documents WHERE length(text) >= 300)),
+  m AS (SELECT DISTINCT doc_id, s FROM w SEMI JOIN (SELECT k FROM w GROUP BY 1 HAVING min(doc_id) <> max(doc_id)) USING (k)),
+  i AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 300 THEN 0 ELSE 1 END AS jump FROM m),
+  g AS (SELECT *, sum(jump) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM i),
+  spans AS (SELECT doc_id, min(s) AS span_start, max(s) + 300 AS span_end FROM g GROUP BY doc_id, n)"""
+
+
+@registry.query("p9_found", f"{_SHARED} SELECT * FROM spans")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))
 
 
-@registry.query("p9_shares")
+@registry.query(
+    "p9_shares",
+    f"""{_SHARED}, sums AS (SELECT doc_id, count(*) AS n, sum(span_end - span_start) AS c FROM spans GROUP BY 1)
+  SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n, 0) AS n_spans, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars,
+    CASE WHEN length(text) > 0 THEN coalesce(c, 0)::DOUBLE / length(text) ELSE 0 END AS shared_share FROM documents LEFT JOIN sums USING (doc_id)""",
+)
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return spans.shared_amounts(docs, spans.shared_spans(docs))

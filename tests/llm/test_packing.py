@@ -34,6 +34,12 @@ def test_size_beyond_the_capacity_is_an_error():
         best_two_fit({11: 1}, 10)
 
 
+@pytest.mark.parametrize("capacity", [0, -1, 2**20 + 1])
+def test_capacities_have_bounds(spark, capacity):
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), capacity=capacity)
+
+
 @pytest.mark.parametrize("chunk", [1, 5, 10**6])
 def test_pack(spark, chunk):
     rng = random.Random(3)
