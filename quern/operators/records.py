@@ -2,19 +2,18 @@
 
 Blocks of records go through a columnar CSV parser at once. A block that fails anywhere is bisected, again
 and again, until the bad records stand alone; those are read strictly, character by character, and get the
-reason. The fast path accepts nothing that the strict reader would not: records are checked against the
-quoting rule and number fields against the number form in the columnar code as well.
+reason. A block fails if the parser refuses it, reads another number of records, or if what it read does not stand up
+to a guard on the quoting and on the form of the numbers, so that the fast path accepts nothing that the strict reader
+would not.
 """
 
 from __future__ import annotations
 
-import io
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
@@ -38,7 +37,7 @@ LAYOUTS = (
 )
 QUOTING, COLUMNS, VALUE, UNKNOWN = "quoting", "column_count", "value", "unknown_file"
 
-_FIELD = r'(?:"(?:[^"]|"")*"|(?:[^",][^",]*)?)'
+_FIELD = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
 _WHOLE, _FRACTION = r"[+-]?[0-9]+", r"[+-]?[0-9]+(?:\.[0-9]+)?"
 _RANGE = {"int": 31, "bigint": 63}
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
@@ -97,117 +96,93 @@ def read_strictly(record: str | None, layout: Layout) -> tuple[str | None, list]
     return None, typed
 
 
-class _Declined(Exception):
-    pass
-
-
 def _number_form(kind: str) -> str:
     """Sound numbers but those with a leading +, which are left to the strict reader."""
     return "-?" + (_FRACTION if kind == "double" else _WHOLE).removeprefix("[+-]?")
 
 
 @lru_cache(maxsize=16)
-def _record_form(layout: Layout) -> str:
+def _record_form(layout: Layout) -> re.Pattern:
     """What the fast path takes for a sound record: quoting, number of fields, form of the numbers."""
     forms = []
     for _, kind in layout.fields:
-        number = rf" *(?:{_number_form(kind)})? *"
+        number = rf" *+(?:{_number_form(kind)})? *+"
         forms.append(_FIELD if kind == "string" else rf'(?:"{number}"|{number})')
-    return rf"\A{','.join(forms)}\z"
+    return re.compile(",".join(forms))
 
 
-def _looks_sound(records: pa.Array, layout: Layout) -> np.ndarray:
-    """Which records the columnar parser may read. It would fill up an empty line with empty fields and end a record
-    at a carriage return, so it gets neither."""
-    odd = pc.or_(pc.equal(records, ""), pc.match_substring(records, "\r"))
-    looks = pc.and_not(pc.match_substring_regex(records, _record_form(layout)), odd)
-    return pc.fill_null(looks, False).to_numpy(zero_copy_only=False)
+def _stands(records: list[str | None], layout: Layout) -> bool:
+    """The guard of parsed records. The parser is laxer than the rule: it fills up an empty line with empty fields, ends a
+    record at a carriage return, and takes quotes inside a field as they are."""
+    form = _record_form(layout).fullmatch
+    return all(r and "\r" not in r and form(r) for r in records)
 
 
-def _read_block(records: pa.Array, layout: Layout) -> list[pa.Array]:
-    """The typed columns of records that look sound; an exception if the parser objects to any of them."""
-    block = "\n".join(records.to_pylist()).encode()
+@lru_cache(maxsize=16)
+def _options(layout: Layout) -> tuple:
     names = [f for f, _ in layout.fields]
-    table = pcsv.read_csv(
-        io.BytesIO(block + b"\n"),
-        pcsv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 16, 2 * len(block) + 2)),
+    return (
         pcsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
         pcsv.ConvertOptions(column_types={f: pa.string() for f in names}, strings_can_be_null=False, null_values=[]),
     )
-    if table.num_rows != len(records):
-        raise _Declined
-    columns = []
-    for name, kind in layout.fields:
-        column = pa.concat_arrays(table[name].chunks)
-        if kind != "string":
-            column = pc.utf8_trim(column, " ")
-            column = pc.if_else(pc.equal(column, ""), pa.scalar(None, pa.string()), column)
-            column = pc.cast(column, _ARROW[kind])  # a number out of range is an exception
-        columns.append(column)
+
+
+def parse_block(records: pa.Array, layout: Layout) -> list[pa.Array] | None:
+    """The typed columns of a block of records, parsed at once; None if any of them fails."""
+    lines = records.to_pylist()
+    block = "\n".join(x or "" for x in lines).encode()
+    read = pcsv.ReadOptions(column_names=[f for f, _ in layout.fields], use_threads=False, block_size=max(1 << 12, 2 * len(block) + 2))
+    try:
+        table = pcsv.read_csv(pa.BufferReader(block + b"\n"), read, *_options(layout))
+        if table.num_rows != len(records) or not _stands(lines, layout):
+            return None
+        columns = []
+        for name, kind in layout.fields:
+            column = pa.concat_arrays(table[name].chunks)
+            if kind != "string":
+                column = pc.utf8_trim(column, " ")
+                column = pc.if_else(pc.equal(column, ""), pa.scalar(None, pa.string()), column)
+                column = pc.cast(column, _ARROW[kind])  # a number out of range is an exception
+            columns.append(column)
+    except pa.ArrowException:
+        return None
     return columns
 
 
 Piece = tuple[int, int, str | None, list | None]
 
 
-def _strictly(records: pa.Array, a: int, b: int, layout: Layout) -> Iterator[Piece]:
-    for i in range(a, b):
-        reason, typed = read_strictly(records[i].as_py(), layout)
-        yield i, i + 1, reason, None if reason else [pa.array([v], _ARROW[k]) for v, (_, k) in zip(typed, layout.fields)]
+def _strictly(records: pa.Array, at: int, layout: Layout) -> Piece:
+    reason, typed = read_strictly(records[at].as_py(), layout)
+    return at, at + 1, reason, None if reason else [pa.array([v], _ARROW[k]) for v, (_, k) in zip(typed, layout.fields)]
 
 
-def _bisect(records: pa.Array, a: int, b: int, layout: Layout, smallest: int) -> Iterator[Piece]:
-    """Halve ``[a, b)`` until the parser takes a part or it is small enough to be read strictly."""
-    if b - a <= smallest:
-        yield from _strictly(records, a, b, layout)
-        return
-    try:
-        columns = _read_block(records.slice(a, b - a), layout)
-    except (_Declined, pa.ArrowException):
-        middle = (a + b) // 2
-        yield from _bisect(records, a, middle, layout, smallest)
-        yield from _bisect(records, middle, b, layout, smallest)
-    else:
-        yield a, b, None, columns
-
-
-def _stretches(looks: np.ndarray, a: int, b: int, smallest: int) -> Iterator[tuple[int, int, bool]]:
-    """Halve ``[a, b)`` until each part looks sound (True) or is small."""
-    if looks[a:b].all():
-        yield a, b, True
-    elif b - a <= smallest:
-        yield a, b, False
-    else:
-        middle = (a + b) // 2
-        yield from _stretches(looks, a, middle, smallest)
-        yield from _stretches(looks, middle, b, smallest)
-
-
-def read_block(records: pa.Array, layout: Layout, smallest: int = 4) -> Iterator[Piece]:
-    """``(from, to, reason, columns)`` pieces of the block in order: sound stretches with typed columns, bad records alone.
-
-    The whole block is parsed at once if it looks sound. Else it is bisected by what a record must look like, and all
-    stretches that look sound are parsed together; if the parser still objects (a number out of range), they are
-    bisected by parsing them. Small failing parts are read strictly, record by record.
+def read_block(records: pa.Array, layout: Layout, smallest: int = 8, parse: Callable[[pa.Array, Layout], list[pa.Array] | None] = parse_block) -> Iterator[Piece]:
+    """``(from, to, reason, columns)`` pieces of the block in order: parsed stretches with typed columns, bad records alone.
+
+    A part that ``parse`` refuses is halved, down to ``smallest`` records (it takes as long to read some ten records strictly
+    as to try one parse); those are diagnosed one by one and kept if the strict reader takes them. Of a refused part
+    whose first half is parsed, the second half is known to fail and is halved without a trial.
     """
-    looks = _looks_sound(records, layout)
-    parts = list(_stretches(looks, 0, len(records), smallest))
-    sound = [(a, b) for a, b, good in parts if good]
-    columns = None
-    if sound:
-        try:
-            columns = _read_block(pa.concat_arrays([records.slice(a, b - a) for a, b in sound]), layout)
-        except (_Declined, pa.ArrowException):
-            pass
-    done = 0
-    for a, b, good in parts:
-        if not good:
-            yield from _strictly(records, a, b, layout)
-        elif columns is None:
-            yield from _bisect(records, a, b, layout, smallest)
+    parts = [(0, len(records), False)]
+    while parts:
+        a, b, fails = parts.pop()
+        if a == b:
+            continue
+        columns = None if fails else parse(records.slice(a, b - a), layout)
+        if columns is not None:
+            yield a, b, None, columns
+        elif b - a <= smallest:
+            for at in range(a, b):
+                yield _strictly(records, at, layout)
         else:
-            yield a, b, None, [c.slice(done, b - a) for c in columns]
-            done += b - a
+            middle = (a + b) // 2
+            columns = parse(records.slice(a, middle - a), layout)
+            if columns is not None:
+                yield a, middle, None, columns
+                parts.append((middle, b, True))
+            else:
+                parts += [(middle, b, False), (a, middle, True)]
 
 
 def parse_records(df: DataFrame, line: str = "line", file_name: str = "file_name", layouts: Sequence[Layout] = LAYOUTS, keep: Sequence[str] = ("line_id", "file_name", "line_no"), block: int = 512) -> DataFrame:

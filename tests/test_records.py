@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.operators.records import LAYOUTS, parse_records, read_block, read_strictly
+from quern.operators.records import LAYOUTS, parse_block, parse_records, read_block, read_strictly
 
 PLACES, STAFF = LAYOUTS
 CASES = [
@@ -26,7 +26,7 @@ def strict_rows(lines, layout):
     return [(r, None if r else tuple(f)) for r, f in (read_strictly(x, layout) for x in lines)]
 
 
-def block_rows(lines, layout, smallest=4):
+def block_rows(lines, layout, smallest=1):
     out = []
     for a, b, reason, columns in read_block(pa.array(lines, pa.string()), layout, smallest):
         assert a == len(out)
@@ -35,19 +35,38 @@ def block_rows(lines, layout, smallest=4):
     return out
 
 
-@pytest.mark.parametrize("smallest", [0, 1, 4, 100])
-def test_bisected_blocks_equal_the_strict_reader(smallest):
+@pytest.mark.parametrize("seed", [1, 2, 3, 8])
+def test_bisected_blocks_equal_the_strict_reader(seed):
     lines = [x for x, _ in CASES] * 3 + ["5,Bo,40,2,9"] * 200
-    random.Random(1).shuffle(lines)
-    assert block_rows(lines, STAFF, max(1, smallest)) == strict_rows(lines, STAFF)
+    random.Random(seed).shuffle(lines)
+    assert block_rows(lines, STAFF, seed) == strict_rows(lines, STAFF)
+    assert block_rows([x for x in lines if x is not None][:seed], STAFF) == strict_rows([x for x in lines if x is not None][:seed], STAFF)
+
+
+@pytest.mark.parametrize("bad", [0, 1, 2, 5, 20, 512])
+def test_parser_calls_grow_with_the_bad_records(bad):
+    """It is the parser's refusal that halves a block: one call if all is sound, else at most two a level and bad record."""
+    lines = ["5,Bo,40,2,9"] * 512
+    for i in random.Random(bad).sample(range(512), bad):
+        lines[i] = ["5,Bo,40,2", '5,"Bo,40,2,9', "5,Bo,4O,2,9", "5,Bo,99999999999,2,9"][i % 4]
+    calls = []
+
+    def counted(records, layout):
+        calls.append(len(records))
+        return parse_block(records, layout)
+
+    pieces = list(read_block(pa.array(lines), STAFF, 1, counted))
+    assert sum(reason is not None for *_, reason, _ in pieces) == bad and calls[0] == 512
+    # nine levels of halves, each with a trial of the first half and perhaps of the second
+    assert max(1, bad) <= len(calls) <= 1 + min(18 * bad, 1022)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet='a,"1\n\r. +-é', max_size=12), min_size=1, max_size=9))
 def test_any_text_is_read_alike(lines):
-    assert block_rows(lines, PLACES, 1) == strict_rows(lines, PLACES)
+    assert block_rows(lines, PLACES) == strict_rows(lines, PLACES)
     lines = [f"x,y,z,{x}" for x in lines]
-    assert block_rows(lines, PLACES, 1) == strict_rows(lines, PLACES)
+    assert block_rows(lines, PLACES) == strict_rows(lines, PLACES)
 
 
 @pytest.mark.parametrize("number,reason", [("1.5", None), ("-0.25", None), ("+7", None), ("1.", "value"), (".5", "value"), ("1e3", "value"), ("nan", "value"), ("inf", "value"), ("1,5", "column_count"), ("", None)])
