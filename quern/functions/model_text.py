@@ -20,16 +20,19 @@ ERROR = "ERROR:"
 
 class Offline:
     """Replies by simple rules: summarize = the first words, classify = by a word, translate = upper case,
-    parse = JSON of length and first word. ``fail_every`` makes every n-th call raise, for tests of retries."""
+    parse = JSON of length and first word. ``fail_every`` makes every n-th call raise, for tests of retries; texts with the
+    word ``refuse`` in any case raise at every call."""
 
-    def __init__(self, fail_every: int = 0):
-        self.fail_every, self.calls = fail_every, 0
+    def __init__(self, fail_every: int = 0, refuse: str | None = None):
+        self.fail_every, self.refuse, self.calls = fail_every, refuse, 0
 
     def __call__(self, prompt: str) -> str:
         self.calls += 1
         if self.fail_every and self.calls % self.fail_every == 0:
             raise ConnectionError("offline client was told to fail")
         task, _, text = prompt.partition("\n")
+        if self.refuse and self.refuse in text.lower():
+            raise ValueError(f"texts with {self.refuse} are refused")
         words = text.split()
         if task == "summarize":
             return " ".join(words[:5])
@@ -56,14 +59,15 @@ def ask(client: Client, prompt: str, tries: int = 3, wait: float = 0.0) -> str:
     return f"{ERROR} {reason}"
 
 
-def per_row(make: Callable[[], Client], task: str, tries: int = 3):
-    """A column function: one call per row. Null text gives null."""
+def per_row(make: Callable[[], Client], task: str | Callable[[], str], tries: int = 3):
+    """A column function: one call per row. Null text gives null. A callable ``task`` is called in the worker, where it may
+    read a broadcast variable."""
 
     @F.pandas_udf("string")
     def reply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        client = make()
+        client, what = make(), task() if callable(task) else task
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else ask(client, f"{task}\n{t}", tries))
+            yield texts.map(lambda t: None if t is None else ask(client, f"{what}\n{t}", tries))
 
     return reply
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.columns import col, unused
+from quern.staging import stage
 
 Merge = Callable[[Column], Column]
 
@@ -72,7 +73,27 @@ def sessions(df: DataFrame, user: str, at: str, tie: str, gap_minutes: int = 30,
     upto = F.sum(F.col(n) + F.col(open_)).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
     starts = opens.select(col(user).alias(own), F.col(part).alias(of), upto.alias(before))
     same = col(user).eqNullSafe(F.col(own)) & F.col(part).eqNullSafe(F.col(of))
-    return begun.join(starts, same).select(*[col(c) for c in df.columns], (F.col(new) + F.col(before)).alias("session"))
+    return begun.join(starts, same).select(*[col(c) for c in df.columns], (F.col(new) + F.col(before)).alias(unused(df, "session")))
+
+
+def exact_medians(df: DataFrame, key: str, value: str, name: str = "median") -> DataFrame:
+    """``(key, median)``: of an even number of values the mean of the two middle ones. Null values are left out.
+
+    Values are counted first, which combines equal ones, and range-sorted by key and value; prefix counts of the ranges tell
+    which of them holds a key's middle, so that a hot key is spread over as many tasks as it has ranges."""
+    of, v, n, part, begin, total, upto = (unused(df, x) for x in ("__of", "__v", "__n", "__part", "__begin", "__total", "__upto"))
+    counted = df.where(col(value).isNotNull()).groupBy(col(key).alias(of), col(value).alias(v)).agg(F.count(F.lit(1)).alias(n))
+    ranged = stage(counted.repartitionByRange(of, v).withColumn(part, F.spark_partition_id()), "ranged").frame
+    here = ranged.groupBy(of, part).agg(F.sum(n).alias(begin))
+    before = F.coalesce(F.sum(begin).over(Window.partitionBy(of).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = here.select(F.col(of).alias(key), F.col(part).alias("part"), before.alias("before"), F.sum(begin).over(Window.partitionBy(of)).alias(total), (before + F.col(begin)).alias(upto))
+    # only ranges with a middle value are read again
+    lower, higher = F.floor((F.col(total) + 1) / 2), F.floor(F.col(total) / 2) + 1
+    middle = ends.where((F.col("before") < higher) & (F.col(upto) >= lower)).drop(upto)
+    inside = ranged.join(middle, F.col(of).eqNullSafe(col(key)) & (F.col(part) == F.col("part")))
+    running = inside.withColumn(upto, F.col("before") + F.sum(n).over(Window.partitionBy(of, part).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)))
+    holds = lambda rank: F.max(F.when((F.col(upto) - F.col(n) < rank) & (F.col(upto) >= rank), F.col(v)))
+    return running.groupBy(col(key)).agg(((holds(lower) + holds(higher)) / 2).alias(name))
 
 
 def call_minutes(df: DataFrame, caller: str, start: str, end: str, flag: Column, least: int = 60) -> DataFrame:

@@ -29,6 +29,8 @@ on("documents", "M01_classic_word_count", f"SELECT regexp_replace(w, '[,.;]$', '
 on("documents", "M02_filtered_word_count", f"SELECT word, count(*) AS n FROM ({_FOLDED}) WHERE length(word) > 2 GROUP BY 1 HAVING count(*) > 2", lambda t: words.count_words(words.folded_words(_lines(t), "line", 2), least=3))
 on("documents", "M03_word_count", f"SELECT word, count(*) AS n FROM (SELECT {_SPLIT.format(x='line')} AS word FROM ({_LINES})) GROUP BY 1", lambda t: words.count_words(_lines(t).select(F.explode(words.split_blanks(F.col("line"))).alias("word"))))
 on("documents", "M03_word_count_at_least_2", f"SELECT word, count(*) AS n FROM ({_FOLDED}) GROUP BY 1 HAVING count(*) >= 2", lambda t: words.count_words(words.folded_words(_lines(t).where(F.length("line") > 0), "line"), least=2))
+# by code points, as in Spark
+_BACKWARDS = "array_to_string(list_reverse(list_transform(range(1, length({x}) + 1), lambda i: substr({x}, i, 1))), '')"
 _LEVELS = " UNION ALL ".join(f"SELECT '{x}' AS level, count(*) AS n FROM ({_LINES}) WHERE contains(lower(line), '{x}')" for x in ("error", "exception", "warning"))
 on("documents", "M04_log_levels", _LEVELS, lambda t: words.level_counts(_lines(t), "line"))
 on(
@@ -40,7 +42,7 @@ on(
     "orders", "M06_top_item", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     lambda t: keyed.best_per_key(t, "o_custkey", "o_orderkey", "o_totalprice"),
 )
-on("documents", "M07_palindromes", f"SELECT word, count(*) AS n FROM ({_FOLDED}) WHERE length(word) >= 3 AND word = reverse(word) AND regexp_full_match(word, '[a-z0-9]+') GROUP BY 1", lambda t: words.palindromes(words.folded_words(_lines(t), "line", 2).where(F.col("word").rlike(r"\A[a-z0-9]+\z"))))
+on("documents", "M07_palindromes", f"SELECT word, count(*) AS n FROM ({_FOLDED}) WHERE length(word) >= 3 AND word = {_BACKWARDS.format(x='word')} GROUP BY 1", lambda t: words.palindromes(words.folded_words(_lines(t), "line", 2)))
 
 
 def _friends(t: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ on(
 )
 on("documents", "A38_word_lengths", f"SELECT CAST(length(word) AS BIGINT) AS len, count(*) AS n FROM ({_FOLDED}) GROUP BY 1", lambda t: words.folded_words(_lines(t), "line").groupBy(F.length("word").cast("bigint").alias("len")).agg(F.count("*").alias("n")))
 on("documents", "T11_top_words", f"SELECT word, count(*) AS n FROM ({_FOLDED}) GROUP BY 1 ORDER BY n DESC, word LIMIT 10", lambda t: words.count_words(words.folded_words(_lines(t), "line")).orderBy(F.desc("n"), "word").limit(10))
-on("part", "M11_by_region", None, lambda t: t.repartition(8, "p_brand").select("p_brand", F.spark_partition_id().alias("part")).distinct())
+on("part", "M11_by_region", "SELECT p_brand, count(*) AS n, CAST(1 AS BIGINT) AS parts FROM part GROUP BY 1", lambda t: t.repartition(8, "p_brand").select("p_brand", F.spark_partition_id().alias("part")).groupBy("p_brand").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts")))
 
 # ---- keyed jobs -------------------------------------------------------------------------------------------
 _EXACT = "CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE)"
@@ -123,7 +125,7 @@ on(
 on("events", "PR15_map_partitions", "SELECT count(*) AS n, min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL", lambda t: keyed.fold_partitions(t.where("value IS NOT NULL").select(F.col("value").alias("v")), _ends, "n bigint, lo double, hi double").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
 on("documents", "F12_word_filter", f"SELECT word, count(*) AS n FROM ({_FOLDED}) WHERE length(word) >= 3 GROUP BY 1", lambda t: words.count_words(words.folded_words(_lines(t), "line", 2)))
 on("documents", "F13_total_filter", f"SELECT word, count(*) AS n FROM ({_FOLDED}) GROUP BY 1 HAVING count(*) >= 4", lambda t: words.count_words(words.folded_words(_lines(t), "line"), least=4))
-on("documents", "F19_palindrome_lines", f"SELECT doc_id, line FROM ({_LINES}) WHERE line = reverse(line) AND regexp_full_match(line, '[ -~]+')", lambda t: _lines(t, "doc_id").where((F.col("line") == F.reverse("line")) & F.col("line").rlike(r"\A[ -~]+\z")))
+on("documents", "F19_palindrome_lines", f"SELECT doc_id, line FROM ({_LINES}) WHERE length(line) > 0 AND line = {_BACKWARDS.format(x='line')}", lambda t: _lines(t, "doc_id").where((F.length("line") > 0) & (F.col("line") == F.reverse("line"))))
 
 # ---- scalar functions -------------------------------------------------------------------------------------
 on("nation", "E01_strings", "SELECT upper(n_name) AS u, lower(n_name) AS l, CAST(length(n_name) AS BIGINT) AS n, trim(lower(n_name)) AS t, n_name[1] AS first FROM nation", lambda t: t.select(F.upper("n_name").alias("u"), F.lower("n_name").alias("l"), F.length("n_name").cast("bigint").alias("n"), F.trim(F.lower("n_name")).alias("t"), F.substring("n_name", 1, 1).alias("first")))
@@ -142,7 +144,10 @@ on("events", "E13_json_path", "SELECT event_id, props->>'$.k' AS k FROM events",
 on("events", "E14_json_struct", "SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events", lambda t: t.select("event_id", F.from_json("props", "k int")["k"].alias("k")))
 on("part", "E15_arrays", "SELECT p_partkey, CAST(len(string_split(p_type, ' ')) AS BIGINT) AS n, unnest(string_split(p_type, ' ')) AS w FROM part", lambda t: t.select("p_partkey", F.size(F.split("p_type", " ")).cast("bigint").alias("n"), F.explode(F.split("p_type", " ")).alias("w")))
 on("customer", "E16_maps", "SELECT c_custkey, ['segment', 'name'] AS ks, [c_mktsegment, c_name] AS vs FROM customer", lambda t: t.select("c_custkey", F.create_map(F.lit("segment"), "c_mktsegment", F.lit("name"), "c_name").alias("m")).select("c_custkey", F.map_keys("m").alias("ks"), F.map_values("m").alias("vs")))
-on("orders", "E17_batch_number", None, lambda t: t.select("o_orderkey", F.floor(F.monotonically_increasing_id() / 100).alias("batch")))
+on(
+    "orders", "E17_batch_number", "SELECT count(*) AS n, true AS small FROM orders",
+    lambda t: t.groupBy(F.floor(F.monotonically_increasing_id() / 100).alias("batch")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.bool_and(F.col("n") <= 100).alias("small")),
+)
 
 # ---- named jobs that are one of the plans above, over other tables ------------------------------------------
 on("lineitem", "A32_arg_max", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) = 1", lambda t: keyed.best_per_key(t, "l_orderkey", "l_linenumber", "l_quantity"))

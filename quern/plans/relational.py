@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators import joins
+from quern.operators import joins, keyed
 from quern.plans.registry import Registry, table
+from quern.sources import files
+from quern.staging import scratch_path
 
 registry = Registry()
 
@@ -81,7 +83,17 @@ on("documents", "F14_contains_folded", "SELECT doc_id FROM documents WHERE conta
 on("documents", "F15_not_empty", "SELECT doc_id FROM documents WHERE length(text) > 0", lambda t: t.where(F.length("text") > 0).select("doc_id"))
 on("scu_continents_2", "F16_text_as_number", "SELECT rec_id FROM scu_continents_2 WHERE TRY_CAST(trim(substr(sdata, 2)) AS BIGINT) > 30000 AND regexp_full_match(sdata, 'd[0-9]+')", lambda t: t.where(F.col("sdata").rlike(r"\Ad[0-9]+\z") & (F.try_to_number(F.substring("sdata", 2, 40), F.lit("9" * 38)) > 30000)).select("rec_id"))
 in_sql("F18_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", "customer orders")
-on("continents_countries_temp", "F20_drop_malformed", "SELECT row_id FROM continents_countries_temp WHERE length(trim(country)) > 0 AND length(trim(city)) > 0 AND temperature BETWEEN -90 AND 60", lambda t: t.where((F.length(F.trim("country")) > 0) & (F.length(F.trim("city")) > 0) & F.col("temperature").between(-90, 60)).select("row_id"))
+
+
+@registry.query("F20_drop_malformed", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 7 > 1")
+def f20(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a file, one in seven with a word for the balance and one in seven without any; the reader drops those."""
+    k = F.col("s_suppkey") % 7
+    balance = F.when(k == 0, "unknown").when(k > 1, F.col("s_acctbal").cast("string"))
+    lines = table(spark, d, "supplier").select(F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name", balance))
+    path = files.write_any(lines, "text", scratch_path(spark, "malformed"))
+    return files.read_csv(spark, path, schema="s_suppkey bigint, s_name string, s_acctbal double", header=False, strict=True).select("s_suppkey", "s_name")
+
 
 # ---- joins ------------------------------------------------------------------------------------------------
 over("nation region", "J01_inner_using", "SELECT n_nationkey AS k, n_name, r_name FROM nation JOIN region ON n_nationkey = r_regionkey", lambda n, r: n.select(F.col("n_nationkey").alias("k"), "n_name").join(r.select(F.col("r_regionkey").alias("k"), "r_name"), "k"))
@@ -148,12 +160,33 @@ on("customer", "A11_rollup", "SELECT c_nationkey, c_mktsegment, count(*) AS n FR
 on("customer", "A12_cube", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY CUBE (c_nationkey, c_mktsegment)", lambda t: t.cube("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")))
 on("customer", "A13_global_min", "SELECT min(c_acctbal) AS lo FROM customer", lambda t: t.groupBy().agg(F.min("c_acctbal").alias("lo")))
 on("part", "A14_describe", "SELECT count(p_retailprice) AS n, round(avg(p_retailprice), 4) AS mean, round(stddev(p_retailprice), 4) AS sd, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part", lambda t: t.agg(F.count("p_retailprice").alias("n"), F.round(F.mean("p_retailprice"), 4).alias("mean"), F.round(F.stddev("p_retailprice"), 4).alias("sd"), F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")))
-on("part", "A15_summary", None, lambda t: t.select("p_size", "p_retailprice").summary("count", "min", "25%", "50%", "75%", "max"))
+
+
+@registry.query("A14_describe_rows", "SELECT unnest(['count', 'mean', 'stddev', 'min', 'max']) AS summary, round(unnest([count(p_retailprice), avg(p_retailprice), stddev(p_retailprice), min(p_retailprice), max(p_retailprice)]), 4) AS value FROM part")
+def a14_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").describe("p_retailprice").select("summary", F.round(F.col("p_retailprice").cast("double"), 4).alias("value"))
+
+
+def _quartiles(t: DataFrame, column: str, found: dict[float, float], error: float) -> DataFrame:
+    """``(p, near)``: whether the share of rows below each found value and up to it takes in ``p``, but for ``error``."""
+    v = F.col(column)
+    tests = [F.struct(F.lit(p).alias("p"), ((F.avg((v < x).cast("int")) <= p + error) & (F.avg((v <= x).cast("int")) >= p - error)).alias("near")) for p, x in found.items()]
+    return t.agg(F.array(*tests).alias("t")).select(F.inline("t"))
+
+
+@registry.query("A15_summary", "SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS p, true AS near, max(p_retailprice) AS most, count(*) AS n FROM part")
+def a15(spark: SparkSession, d: str) -> DataFrame:
+    """Quartiles of ``summary`` are approximate: what is compared is that their ranks are right to one in a thousand."""
+    t = table(spark, d, "part")
+    rows = {r["summary"]: float(r["p_retailprice"]) for r in t.select("p_retailprice").summary("count", "25%", "50%", "75%", "max").collect()}
+    near = _quartiles(t, "p_retailprice", {p: rows[f"{p:.0%}"] for p in (0.25, 0.5, 0.75)}, 0.001)
+    return near.select("*", F.lit(rows["max"]).alias("most"), F.lit(int(rows["count"])).cast("bigint").alias("n"))
+
 on("documents", "A16_null_counts", "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in ("text", "lang", "source", "title")) + " FROM documents", lambda t: t.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in ("text", "lang", "source", "title")]))
 on("nation", "A17_collect_list", "SELECT n_regionkey, list(n_name ORDER BY n_name) AS names FROM nation GROUP BY 1", lambda t: t.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names")))
 on("customer", "A18_distinct", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer", lambda t: t.select("c_nationkey", "c_mktsegment").dropDuplicates(["c_nationkey", "c_mktsegment"]))
 on("orders", "A31_max_per_key", "SELECT o_custkey, max(o_totalprice) AS most FROM orders GROUP BY 1", lambda t: t.groupBy("o_custkey").agg(F.max("o_totalprice").alias("most")))
-on("scu_continents_1", "A30_median", "SELECT country, median(ndata) AS m FROM scu_continents_1 WHERE ndata IS NOT NULL GROUP BY 1", lambda t: t.where("ndata IS NOT NULL").groupBy("country").agg(F.median("ndata").alias("m")))
+on("scu_continents_1", "A30_median", "SELECT country, median(ndata) AS m FROM scu_continents_1 WHERE ndata IS NOT NULL GROUP BY 1", lambda t: keyed.exact_medians(t, "country", "ndata", "m"))
 on("orders", "A37_histogram", "SELECT CAST(floor(o_totalprice / 10000) * 10000 AS BIGINT) AS lo, count(*) AS n FROM orders GROUP BY 1", lambda t: t.groupBy((F.floor(F.col("o_totalprice") / 10000) * 10000).cast("bigint").alias("lo")).agg(F.count("*").alias("n")))
 over(
     "lineitem orders customer nation region", "A40_revenue",
@@ -206,7 +239,13 @@ on("customer", "T06_top", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_
 on("orders", "T07_sort_by_take", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", lambda t: t.select("o_orderkey", "o_totalprice").sort("o_totalprice", "o_orderkey", ascending=[False, True]).limit(10))
 on("part", "T08_sort_by_key", "SELECT p_size, count(*) AS n FROM part GROUP BY 1 ORDER BY 1", lambda t: t.groupBy("p_size").agg(F.count("*").alias("n")).orderBy("p_size"))
 on("orders", "T09_sample", None, lambda t: t.sample(0.1, seed=7).select("o_orderkey"))
-registry.add("T10_approx_quantile", lambda spark, d: spark.createDataFrame([tuple(table(spark, d, "orders").approxQuantile("o_totalprice", [0.25, 0.5, 0.75], 0.01))], "q25 double, q50 double, q75 double"))
+
+
+@registry.query("T10_approx_quantile", "SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS p, true AS near")
+def t10(spark: SparkSession, d: str) -> DataFrame:
+    t, shares = table(spark, d, "orders"), (0.25, 0.5, 0.75)
+    return _quartiles(t, "o_totalprice", dict(zip(shares, t.approxQuantile("o_totalprice", list(shares), 0.01))), 0.01)
+
 
 # ---- set operations ---------------------------------------------------------------------------------------
 over("customer supplier", "U01_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", lambda c, s: c.select(F.col("c_nationkey").alias("k")).union(s.select("s_nationkey")))

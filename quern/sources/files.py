@@ -29,12 +29,14 @@ def read_any(spark: SparkSession, kind: str, path: str | list[str], schema: T.St
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True, names: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
     """CSV with a header and inferred types, or with a schema (no inference pass), or headerless with ``names``.
 
-    ``strict`` drops malformed records. Blank last lines are no records.
+    ``strict`` drops malformed records, judged by all fields of the schema whichever are read. Blank last lines are no records.
     """
     options = {"header": header, "mode": "DROPMALFORMED" if strict else "PERMISSIVE"}
     if schema is None:
         options["inferSchema"] = names is None
     df = read_any(spark, "csv", path, schema, **options)
+    if strict:  # a test that always holds and needs every field: fields that are not read are not judged
+        df = df.where(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]) >= -(1 << 63))
     return df.toDF(*names) if names else df
 
 

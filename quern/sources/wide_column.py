@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.staging import stage
+
 CELL = ["row_key", "family", "qualifier"]
 
 
@@ -24,6 +26,12 @@ def put(table: DataFrame, cells: DataFrame, families: Sequence[str]) -> DataFram
     return table.unionByName(checked)
 
 
+def store(table: DataFrame) -> DataFrame:
+    """The cells written once to the shared folder in the order of their keys, and read from there: the statistics of
+    the files then let a range of keys skip all others."""
+    return stage(table.repartitionByRange("row_key").sortWithinPartitions("row_key"), "cells").frame
+
+
 def latest(table: DataFrame) -> DataFrame:
     """Each cell's newest value; of equal timestamps the largest value. Combined before the shuffle."""
     return table.groupBy(*CELL).agg(F.max(F.struct("ts", "value")).alias("v")).select(*CELL, "v.ts", "v.value")
@@ -34,7 +42,7 @@ def get(table: DataFrame, row_key: str) -> DataFrame:
 
 
 def scan(table: DataFrame, start: str | None = None, stop: str | None = None) -> DataFrame:
-    """Rows from ``start`` (inclusive) to ``stop`` (exclusive), newest cells. The range reaches the scan."""
+    """Rows from ``start`` (inclusive) to ``stop`` (exclusive), newest cells. The range reaches the scan of a stored table."""
     if start is not None:
         table = table.where(F.col("row_key") >= start)
     if stop is not None:

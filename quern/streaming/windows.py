@@ -36,15 +36,22 @@ def session_counts(events: DataFrame, at: str, key: str, gap: str = "30 minutes"
     return timed.groupBy(F.session_window("__at", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def run_to_end(stream: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    """Run ``build(stream)`` over everything that is there, then stop; the last state's rows as a table."""
-    spark = stream.sparkSession
-    out, marks = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-marks")
-    shaped = build(stream)
+#: fixed value: later than any event, and within what a timestamp of microseconds holds
+FAR = "9000-01-01 00:00:00"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    query = shaped.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_to_end(stream: DataFrame, at: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``build(stream)`` over everything that is there, in append mode: each window is written once, when the watermark
+    has passed it, and its state is dropped then. When all is read, one event of the far future, with nothing but its time ``at``,
+    closes the windows that are still open; its own never closes, so it does not come out. Both runs share a checkpoint."""
+    spark = stream.sparkSession
+    out, marks, closing = (scratch_path(spark, f"stream-{x}") for x in ("out", "marks", "closing"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(closing)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    shaped = build(stream.unionByName(spark.readStream.schema(stream.schema).parquet(closing)))
+    last = spark.range(1).select(*[(F.lit(FAR) if f.name == at else F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema])
+    for closes in (False, True):
+        if closes:
+            last.write.mode("append").parquet(closing)
+        shaped.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(shaped.schema).parquet(out)

@@ -4,9 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as words
-from quern.operators import joins, keyed
+from quern.operators import graph, joins, keyed
 
-SIX = ["fox jumped and fox jumped", "fox jumped high", "fox is red", "fox is fox jumped", "red fox jumped high", "x"]
+#: fixed values: published inputs, whose printed results the tests below state
+THREE_DOCS = ["fox jumped and jumped", "fox jumped high", "fox jumped high", "fox jumped ", "fox is red", "fox is red"]
+D1 = [(1, "v1"), (1, "v2"), (2, "v3"), (2, "v4"), (3, "v5"), (4, "v6"), (5, "v7")]
+D2 = [(1, "w1"), (1, "w2"), (2, "w3"), (2, "w4"), (2, "w5"), (3, "w6"), (6, "w7"), (7, "w8")]
+CLICKS = [("u1", "2025-09-11 10:00:00"), ("u1", "2025-09-11 10:05:00"), ("u1", "2025-09-11 11:30:00"), ("u2", "2025-09-11 09:00:00"), ("u2", "2025-09-11 09:45:00")]
+FAMILY = [("1", "2"), ("2", "1"), ("3", "1"), ("1", "3"), ("2", "3"), ("3", "4"), ("4", "3"), ("5", "3"), ("3", "5"), ("4", "5"), ("98", "99"), ("99", "98")]
 
 
 def counts(df):
@@ -18,9 +23,9 @@ def lines(spark, *ls):
 
 
 def test_word_count_three_documents(spark):
-    docs = lines(spark, "the cat sat on the mat", "the dog sat on the log", "the cat and the dog played")
-    got = counts(words.count_words(docs.select(F.explode(words.split_blanks(F.col("line"))).alias("word"))))
-    assert got == {"the": 6, "cat": 2, "dog": 2, "on": 2, "sat": 2, "and": 1, "log": 1, "mat": 1, "played": 1}
+    words_ = lines(spark, *THREE_DOCS).select(F.explode(words.split_blanks(F.col("line"))).alias("word"))
+    assert counts(words.count_words(words_)) == {"fox": 6, "jumped": 5, "and": 1, "high": 2, "is": 2, "red": 2}
+    assert counts(words.count_words(words_, least=4)) == {"fox": 6, "jumped": 5}
 
 
 def test_classic_rules_drop_short_words_before_stripping(spark):
@@ -53,17 +58,14 @@ def test_title_case_keeps_the_tail(spark):
     assert lines(spark, "john mcDonald x").select(words.title_words(F.col("line"))).first()[0] == "John McDonald X"
 
 
-D1 = [("a", 1), ("b", 2), ("c", 3), ("c", 4), ("d", 5), ("d", 6), ("e", 7)]
-D2 = [("a", 1), ("a", 2), ("b", 3), ("c", 4), ("c", 5), ("d", 6), ("f", 7), ("g", 8)]
-
-
-@pytest.mark.parametrize("how,n", [("inner", 9), ("left", 10), ("right", 11), ("full", 12), ("left_semi", 6), ("left_anti", 1)])
+@pytest.mark.parametrize("how,n", [("inner", 11), ("left", 13), ("right", 13), ("full", 15), ("left_semi", 5), ("left_anti", 2), ("cross", 56)])
 def test_join_cardinalities(spark, how, n):
-    assert spark.createDataFrame(D1, "k string, v int").join(spark.createDataFrame(D2, "k string, w int"), "k", how).count() == n
+    a, b = spark.createDataFrame(D1, "id int, value1 string"), spark.createDataFrame(D2, "id int, value2 string")
+    assert (a.crossJoin(b) if how == "cross" else a.join(b, "id", how)).count() == n
 
 
 def test_join_plans_agree(spark):
-    a, b = spark.createDataFrame(D1 + [(None, 0)], "k string, l int"), spark.createDataFrame(D2 + [(None, 0)], "k string, r int")
+    a, b = spark.createDataFrame(D1 + [(None, "v0")], "k int, l string"), spark.createDataFrame(D2 + [(None, "w0")], "k int, r string")
     want = sorted(tuple(r) for r in a.join(b, "k").select("k", "l", "r").collect())
     assert sorted(tuple(r) for r in joins.reduce_side_join(a, b, "k", "l", "r").collect()) == want
     salted = joins.salted_join(a, b.withColumnRenamed("k", "k2"), "k", "k2", 3).select("k", "l", "r")
@@ -92,11 +94,20 @@ def test_call_minutes_are_cut_off_call_by_call_and_summed_before_the_filter(spar
 
 
 def test_sessions(spark):
-    rows = [("u1", "10:00"), ("u1", "10:05"), ("u1", "11:30"), ("u2", "09:00"), ("u2", "10:00")]
-    df = spark.createDataFrame([(i, u, f"2024-01-01 {t}:00") for i, (u, t) in enumerate(rows)], "id int, u string, t string").withColumn("t", F.to_timestamp("t"))
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(CLICKS)], "id int, u string, t string").withColumn("t", F.to_timestamp("t"))
     assert [r.session for r in keyed.sessions(df, "u", "t", "id").orderBy("id").collect()] == [1, 1, 2, 1, 2]
 
 
+def test_family_rank_and_components(spark):
+    ids = sorted({x for e in FAMILY for x in e})
+    g = graph.Graph(spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame(FAMILY, "src string, dst string"))
+    vertices, edges = graph.page_rank(g, tol=1e-7)
+    ranks = {r.id: r.pagerank for r in vertices.collect()}
+    assert ranks["3"] == pytest.approx(1.887531, abs=1e-5) and ranks["98"] == pytest.approx(1.0, abs=1e-5) == ranks["99"]
+    assert {(r.src, r.dst): r.weight for r in edges.collect()}["3", "4"] == pytest.approx(1 / 3)
+    assert len({r.component for r in graph.connected_components(g).collect()}) == 2
+
+
 def test_common_friends(spark):
     lists = {"A": "BCD", "B": "ACDE", "C": "ABDE", "D": "ABCE", "E": "BCD"}
     df = spark.createDataFrame([(p, f) for p, fs in lists.items() for f in fs], "person string, friend string")
