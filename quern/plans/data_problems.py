@@ -90,7 +90,52 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.findings(load_profile(spark, d, wide=False))
 
 
-@registry.query("p3_profile")
+_NAME = "NOT regexp_full_match({c}, '\\p{{Lu}}\\p{{L}}*([ ''-]\\p{{L}}+)*')"
+_PROFILED = (
+    ("employees", "whole", {"age": "{c} NOT BETWEEN 16 AND 90", "salary": "{c} NOT BETWEEN 1000 AND 5000000", "row_id": "false", "id": "false", "department_id": "{c} <= 0"}),
+    ("employees", "time", {"recorded_at": "false", "arrived_at": "false"}),
+    ("employees", "text", {"name": _NAME}),
+    ("continents_countries_temp", "whole", {"row_id": "false"}),
+    ("continents_countries_temp", "time", {"recorded_at": "false"}),
+    ("continents_countries_temp", "frac", {"temperature": "{c} NOT BETWEEN -90 AND 60"}),
+    ("continents_countries_temp", "text", {"city": _NAME, "continent": _NAME, "country": _NAME}),
+)
+
+
+def _profile_sql() -> str:
+    """The profile by sorting every column's values: whole numbers and microseconds, fractions and texts each in their own type."""
+    cells, parts = {"whole": [], "frac": [], "txt": []}, []
+    for table_name, kind, columns in _PROFILED:
+        for c, bad in columns.items():
+            v = {"time": f"epoch_us({c})", "text": f"CASE WHEN length(trim({c})) > 0 THEN {c} END", "whole": f"CAST({c} AS BIGINT)", "frac": f"CASE WHEN NOT isnan({c}) THEN {c} END"}[kind]
+            cells[{"time": "whole", "text": "txt"}.get(kind, kind)].append(f"SELECT '{table_name}' AS table_name, '{c}' AS column_name, CAST(load_no AS BIGINT) AS load_no, {v} AS v, coalesce({bad.format(c=c)}, false) AS bad FROM {table_name}")
+    for kind, rows in cells.items():
+        twice = "CAST(NULL AS DOUBLE)"
+        if kind != "txt":
+            wide = "HUGEINT" if kind == "whole" else "DOUBLE"
+            middle = lambda n, u, at: f"CAST(max(v) FILTER (WHERE {u} - {at} < ({n} + 1) // 2 AND {u} >= ({n} + 1) // 2)::{wide} + max(v) FILTER (WHERE {u} - {at} < {n} // 2 + 1 AND {u} >= {n} // 2 + 1)::{wide} AS DOUBLE)"
+        own, rest = (middle("total", "upto", "n"), middle("others", "rest_upto", "rest_n")) if kind != "txt" else (twice, twice)
+        parts.append(
+            f"""SELECT b.table_name, b.column_name, b.load_no, n_rows, n_null, n_invalid, n_distinct, top_count, min_value, max_value, ks, median2, rest_median2 FROM (
+    SELECT table_name, column_name, load_no, count(*) AS n_rows, count(*) - count(v) AS n_null, count(*) FILTER (WHERE bad AND v IS NOT NULL) AS n_invalid,
+      count(DISTINCT v) AS n_distinct, CAST(min(v) AS VARCHAR) AS min_value, CAST(max(v) AS VARCHAR) AS max_value FROM {kind}_cells GROUP BY ALL) b
+    LEFT JOIN (SELECT table_name, column_name, load_no, max(n) AS top_count FROM {kind}_own GROUP BY ALL) t USING (table_name, column_name, load_no)
+    LEFT JOIN (SELECT table_name, column_name, load_no, max(greatest(abs(upto / total - rest_upto / others), abs((upto - n) / total - (rest_upto - rest_n) / others))) FILTER (WHERE n > 0 AND others > 0) AS ks,
+      {own} AS median2, {rest} AS rest_median2 FROM {kind}_curve GROUP BY ALL) c USING (table_name, column_name, load_no)"""
+        )
+    withs = []
+    for kind, rows in cells.items():
+        withs.append(f"{kind}_cells AS ({' UNION ALL '.join(rows)}), {kind}_own AS (SELECT table_name, column_name, load_no, v, count(*) AS n FROM {kind}_cells WHERE v IS NOT NULL GROUP BY ALL)")
+        # every load at every value of its column; loads without any value have no curve
+        withs.append(f"""{kind}_curve AS (SELECT *, all_n - n AS rest_n, sum(n) OVER l AS upto, sum(all_n - n) OVER l AS rest_upto, sum(n) OVER f AS total, sum(all_n - n) OVER f AS others FROM (
+      SELECT g.table_name, g.column_name, g.load_no, a.v, a.all_n, coalesce(o.n, 0) AS n FROM (SELECT DISTINCT table_name, column_name, load_no FROM {kind}_own) g
+      JOIN (SELECT table_name, column_name, v, sum(n)::BIGINT AS all_n FROM {kind}_own GROUP BY ALL) a USING (table_name, column_name)
+      LEFT JOIN {kind}_own o ON o.table_name = g.table_name AND o.column_name = g.column_name AND o.load_no = g.load_no AND o.v = a.v)
+    WINDOW l AS (PARTITION BY table_name, column_name, load_no ORDER BY v), f AS (PARTITION BY table_name, column_name, load_no))""")
+    return f"WITH {', '.join(withs)} {' UNION ALL '.join(parts)}"
+
+
+@registry.query("p3_profile", _profile_sql())
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return load_profile(spark, d, wide=True)
 
